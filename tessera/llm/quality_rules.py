@@ -88,7 +88,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: LineRules = Li
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
     keep = ~F.col("base_failed") & (F.col("n_bad_words") <= rules.max_lost_share * F.col("n_words"))
-    return df.withColumn("kept", keep).select(*own, *made)
+    # a generator keeps later filters on the verdict from being pushed down, which would repeat the rules inside themselves
+    return df.withColumn("kept", keep).select(*own, F.inline(F.array(F.struct(*made))))
 
 
 def _bad(line: Column, n: Column, rules: LineRules) -> Column:

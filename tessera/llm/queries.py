@@ -78,8 +78,8 @@ _SQL_RULES = ", ".join(f"('{r}', '{v}', '{r.partition('/')[0]}', '/{r.partition(
 
 _OP1 = rf"""
 with rules(rule, verdict, rhost, rpath) as (values {_SQL_RULES}),
-at as (select page_id, url, instr(url, '://') as k from pages),
-rest as (select page_id, case when k > 0 then substring(url, k + 3) else '' end as r from at),
+cut as (select page_id, url, instr(url, '://') as k from pages),
+rest as (select page_id, case when k > 0 then substring(url, k + 3) else '' end as r from cut),
 p as (select page_id, translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
              regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path, row_number() over () as n from rest),
 fit as (select p.n, r.rule, r.verdict, row_number() over (partition by p.n order by length(r.rule) desc, length(r.rhost) desc, r.rule desc) as k
@@ -101,10 +101,10 @@ bad as (select r, len(words) as n,
           or len(list_filter(words, lambda x: ends_with(x, '!'))) > 0.3 * len(words)
           or (len(words) >= 60 and not regexp_matches(line, '[.!?…:;,"''”’»)\]]$'))
           or (len(words) <= 30 and regexp_matches(line, '{quality_rules.LineRules().boilerplate}')) as b from lw),
-s as (select r, count(*) as lines, sum(n) as words from bad where b group by r),
-o as (select w.r, doc_id, len(words)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
-        (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
-        coalesce(c.n, 0)::bigint as n_repeat_words, coalesce(s.lines, 0)::bigint as n_bad_lines, coalesce(s.words, 0)::bigint as n_bad_words
+s as (select r, count(*) as lines, sum(n) as bw from bad where b group by r),
+o as (select w.r, doc_id, len(w.words)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+        (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, (len(w.lines) - len(list_distinct(w.lines)))::bigint as n_dup_lines,
+        coalesce(c.n, 0)::bigint as n_repeat_words, coalesce(s.lines, 0)::bigint as n_bad_lines, coalesce(s.bw, 0)::bigint as n_bad_words
       from w left join cover c on c.r = w.r left join s on s.r = w.r)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_bad_words <= 0.5 * n_words as kept, n_bad_lines, n_bad_words from o
@@ -114,21 +114,21 @@ _OP7 = rf"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
 u as (select *, row_number() over (partition by doc_id, source, size) as copy from d),
 s0 as (select source, sum(size)::bigint as ssize from d group by source),
-s as (select *, row_number() over (order by source is null, source) - 1 as at, (row_number() over (order by source is null, source) - 1) % 3 + 1 as w from s0),
+s as (select *, row_number() over (order by source is null, source) - 1 as pos, (row_number() over (order by source is null, source) - 1) % 3 + 1 as w from s0),
 t as (select sum(ssize)::bigint as total, sum(w) as weight from s),
 f as (select s.*, row_number() over o as k, (total - coalesce(sum(3 * ssize) over (o rows between unbounded preceding and 1 preceding), 0))::double
         / (weight - coalesce(sum(w) over (o rows between unbounded preceding and 1 preceding), 0))::double as level
-      from s, t window o as (order by 3.0 * ssize / w, at)),
+      from s, t window o as (order by 3.0 * ssize / w, pos)),
 k0 as (select min(k) as k0, arg_min(level, k) as level0 from f where 3 * ssize >= level * w),
-g as (select f.source, at, ssize, w, case when k < k0 then (3 * ssize)::double else level0 * w end as target from f, k0),
-e as (select *, floor(sum(target) over (order by at) / (select sum(target) from g) * 4294967296.0)::bigint as hi0, row_number() over (order by at desc) as back from g),
+g as (select f.source, pos, ssize, w, case when k < k0 then (3 * ssize)::double else level0 * w end as target from f, k0),
+e as (select *, floor(sum(target) over (order by pos) / (select sum(target) from g) * 4294967296.0)::bigint as hi0, row_number() over (order by pos desc) as back from g),
 e2 as (select *, case when back = 1 then 4294967296 else hi0 end as hi from e),
-e3 as (select *, coalesce(lag(hi) over (order by at), 0) as lo from e2),
+e3 as (select *, coalesce(lag(hi) over (order by pos), 0) as lo from e2),
 n as (select unnest(range(0, (select (total + 255) // 256 from t))) as slot),
 p as (select slot, ((slot::hugeint * 11400714819323198485) % 18446744073709551616) // 4294967296 as point from n),
-c as (select at, count(*) as slots, max(slot) as last from p join e3 on point >= lo and point < hi group by at),
+c as (select pos, count(*) as slots, max(slot) as last from p join e3 on point >= lo and point < hi group by pos),
 b as (select e3.source, e3.ssize, e3.target, least(coalesce(slots, 0) * 256 - case when last = (select max(slot) from n) then 256 * (last + 1) - (select total from t) else 0 end, 3 * e3.ssize) as upto
-      from e3 left join c on c.at = e3.at),
+      from e3 left join c on c.pos = e3.pos),
 x as (select u.*, b.ssize, b.target, b.upto, ep, md5(concat_ws('|', 'mix', ep, doc_id, copy)) as h
       from u join b on u.source is not distinct from b.source, (values (0), (1), (2)) z(ep)),
 y as (select *, ep * ssize + sum(size) over (partition by source, ep order by h, doc_id, size, copy rows unbounded preceding) - size as a from x)
