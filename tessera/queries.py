@@ -2,10 +2,405 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import kernels, views
+from tessera.functions.latin import to_latin
+from tessera.operators import blocking, decide, features, lexicon, matcher, sampling
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+P = blocking.Blocking(df_frac=0.05, k_main=20, k_name=5)
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- documents as records: language is the country, a third of the documents are queries -----------------------------
+
+LATIN = "trim(regexp_replace(replace(strip_accents(replace(lower(coalesce({}, '')), 'ß', 'ss')), '&', ' and '), '[^0-9a-z]+', ' ', 'g'))"
+REC = f"""tk as (select doc_id as id, lang as country, doc_id % 3 = 0 as is_query, text, list_filter(string_split({LATIN.format("text")}, ' '), lambda t: t <> '') as tk from documents),
+rec as (select id, country, is_query, text, array_to_string(tk[1:8], ' ') as name, array_to_string(tk[9:30], ' ') as addr from tk)"""
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    toks = views.tokens(to_latin(F.coalesce("text", F.lit(""))))
+    df = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("country"), (F.col("doc_id") % 3 == 0).alias("is_query"), "text", toks.alias("tk"))
+    return df.select("id", "country", "is_query", "text", F.array_join(F.slice("tk", 1, 8), " ").alias("name"), F.array_join(F.slice("tk", 9, 22), " ").alias("addr"))
+
+
+CHANNELS = {"name": "name", "addr": "addr"}
+POSTS = """, ch as (select id, country, is_query, 'name' as channel, name as t from rec union all select id, country, is_query, 'addr', addr from rec),
+post as (select distinct country, id, is_query, channel, tok from (select *, unnest(string_split(t, ' ')) as tok from ch) where length(tok) >= 2),
+sz as (select country, count(*) as n from rec where not is_query group by country),
+dfq as (select country, channel, tok, count(*) as df from post where not is_query group by all),
+idf as (select d.country, channel, tok, df, ln(n / df) as idf from dfq d join sz on d.country = sz.country where df <= greatest(5, floor(0.05 * n)))"""
+SCORES = """, pw as (select post.country, post.channel, post.tok, id, idf from post join idf on post.country = idf.country and post.channel = idf.channel and post.tok = idf.tok where not is_query),
+nrm as (select country, channel, id, sqrt(sum(idf * idf)) as norm from pw group by all),
+pv as (select pw.country, pw.channel, pw.tok, pw.id as c, idf / norm as w from pw join nrm on pw.country = nrm.country and pw.channel = nrm.channel and pw.id = nrm.id where norm > 0),
+qv as (select post.country, post.channel, post.tok, id as q, idf from post join idf on post.country = idf.country and post.channel = idf.channel and post.tok = idf.tok where is_query),
+sc as (select qv.country, q, c, coalesce(sum(case when qv.channel = 'name' then idf * w end), 0.0) as ncos, coalesce(sum(case when qv.channel = 'addr' then idf * w end), 0.0) as acos
+       from qv join pv on qv.country = pv.country and qv.channel = pv.channel and qv.tok = pv.tok group by all)"""
+CANDS = """, bl as (select *, 0.5 * ncos + 0.5 * acos as blk from sc),
+mn as (select *, row_number() over (partition by q order by round(blk, 6) desc, c) as rn from bl where blk > 0),
+nm as (select *, row_number() over (partition by q order by round(ncos, 6) desc, c) as rn from bl where ncos > 0),
+un as (select country, q, c, blk, ncos, acos, rn - 1 as rank, 0 as in_name from mn where rn <= 20 union all select country, q, c, blk, ncos, acos, null, 1 from nm where rn <= 5),
+cand as (select country, q, c, any_value(blk) as blk, any_value(ncos) as ncos, any_value(acos) as acos, coalesce(min(rank), 20) as rank, max(in_name) as in_name from un group by country, q, c)"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.scores(records(spark, sf_dir), CHANNELS, P)
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.candidates(_scores(spark, sf_dir), P)
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec = records(spark, sf_dir).select("id", "country", "is_query", F.md5("text").alias("h"))
+    return rec.where("is_query").select(F.col("id").alias("q"), "country", "h").join(rec.where("not is_query").select(F.col("id").alias("c"), "country", "h"), ["country", "h"]).select("q", "c")
+
+
+TRUTH = ", truth as (select a.id as q, b.id as c from rec a join rec b on a.country = b.country and md5(a.text) = md5(b.text) where a.is_query and not b.is_query)"
+
+
+@query(f"with {REC}{POSTS} select * from dfq")
+def tokenize_df(spark, sf_dir):
+    return blocking.frequencies(blocking.postings(records(spark, sf_dir), CHANNELS))
+
+
+@query(f"with {REC}{POSTS} select country, channel, tok, df, round(idf, 6) as idf from idf")
+def idf_table(spark, sf_dir):
+    rec = records(spark, sf_dir)
+    return blocking.idf(blocking.postings(rec, CHANNELS), rec, P).withColumn("idf", F.round("idf", 6))
+
+
+@query(f"with {REC}{POSTS}{SCORES}, r as (select *, row_number() over (partition by q order by round(ncos, 6) desc, c) as rn from sc where ncos > 0) select country, q, c, round(ncos, 6) as ncos, rn - 1 as rank from r where rn <= 20")
+def block_name_topk(spark, sf_dir):
+    return blocking.top_names(_scores(spark, sf_dir), 20)
+
+
+@query(f"with {REC}{POSTS}{SCORES}{CANDS} select country, q, c, round(blk, 6) as blk, round(ncos, 6) as ncos, round(acos, 6) as acos, rank, in_name from cand")
+def block_union(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("country", "q", "c", *[F.round(x, 6).alias(x) for x in ("blk", "ncos", "acos")], "rank", "in_name")
+
+
+_REPORT = """, per as (select t.q, count(*) as tsize, count(rank) as found, sum(case when rank >= 20 then 1 else 0 end) as name_only, sum(coalesce((rank < 5)::int, 0)) as at5, sum(coalesce((rank < 10)::int, 0)) as at10, sum(coalesce((rank < 20)::int, 0)) as at20
+  from truth t left join cand on t.q = cand.q and t.c = cand.c group by t.q),
+f as (select id as q, coalesce(tsize, 0) as tsize, coalesce(found, 0) as found, coalesce(name_only, 0) as name_only, coalesce(at5, 0) as at5, coalesce(at10, 0) as at10, coalesce(at20, 0) as at20 from rec left join per on id = q where is_query)
+select round(sum(at5) / greatest(sum(tsize), 1), 6) as recall_5, round(sum(at10) / greatest(sum(tsize), 1), 6) as recall_10, round(sum(at20) / greatest(sum(tsize), 1), 6) as recall_20, round(sum(found) / greatest(sum(tsize), 1), 6) as recall_union,
+  sum(name_only)::bigint as name_only, round(avg((found = tsize)::int), 6) as all_found,
+  round(avg(case when tsize = 0 then (found = 0)::int when found = 0 then 0 else 1.25 * (found / tsize) / (0.25 + found / tsize) end), 6) as ceiling_f05, count(*) as n_q, (select count(*) from cand) as pairs from f"""
+
+
+@query(f"with {REC}{POSTS}{SCORES}{CANDS}{TRUTH}{_REPORT}")
+def blocking_report(spark, sf_dir):
+    rec = records(spark, sf_dir)
+    return decide.blocking_report(_candidates(spark, sf_dir), _truth(spark, sf_dir), rec.where("is_query").select(F.col("id").alias("q")), (5, 10, 20))
+
+
+@query(f"with {REC}{POSTS}{SCORES}{CANDS} select q, c, count(*) over (partition by q) as n_cand, round(blk / greatest(max(blk) over (partition by q), 1e-6), 6) as blk_rel, round(max(blk) over (partition by q) - blk, 6) as blk_gap from cand")
+def group_relative_features(spark, sf_dir):
+    df = features.within_query(_candidates(spark, sf_dir))
+    return df.select("q", "c", "n_cand", F.round("blk_rel", 6).alias("blk_rel"), F.round("blk_gap", 6).alias("blk_gap"))
+
+
+@query(f"with {REC}{POSTS}{SCORES}{CANDS} select id as q, coalesce(string_agg(c, ',' order by c), '') as candidate_ids from rec left join cand on id = q where is_query group by id")
+def candidate_lists(spark, sf_dir):
+    rec = records(spark, sf_dir)
+    return decide.lists(_candidates(spark, sf_dir), rec.where("is_query").select(F.col("id").alias("q")), [F.col("c").alias("o")], "candidate_ids")
+
+
+@query(f"with {REC}{POSTS}{SCORES}{CANDS}{TRUTH} select cand.q, cand.c, (t.q is not null)::int as y from cand left join truth t on cand.q = t.q and cand.c = t.c")
+def label_pairs(spark, sf_dir):
+    truth = _truth(spark, sf_dir).withColumn("y", F.lit(1))
+    return _candidates(spark, sf_dir).select("q", "c").join(truth, ["q", "c"], "left").na.fill(0, ["y"])
+
+
+@query()
+def df_cap_sweep(spark, sf_dir):
+    return blocking.sweep(records(spark, sf_dir), CHANNELS, _truth(spark, sf_dir), P, [0.01, 0.05])
+
+
+@query(f"with {REC}, n as (select country, count(*) as n from rec group by country) select id, round(case when name <> '' then count(*) over (partition by rec.country, name) * 1e5 / n end, 6) as name_dup, round(case when addr <> '' then count(*) over (partition by rec.country, addr) * 1e5 / n end, 6) as addr_dup from rec join n on rec.country = n.country")
+def dup_counts(spark, sf_dir):
+    out = features.frequency_rates(records(spark, sf_dir), {"name_dup": "name", "addr_dup": "addr"})
+    return out.select("id", F.round("name_dup", 6).alias("name_dup"), F.round("addr_dup", 6).alias("addr_dup"))
+
+
+@query(f"with {REC}{TRUTH} select count(*) as pairs, sum((split_part(a.name, ' ', 1) = split_part(b.name, ' ', 1))::int)::bigint as first_token, sum((left(a.name, 4) = left(b.name, 4))::int)::bigint as prefix4, sum((left(a.name, 6) = left(b.name, 6))::int)::bigint as prefix6, sum(list_has_any(string_split(a.addr, ' '), string_split(b.addr, ' '))::int)::bigint as addr_token from truth join rec a on a.id = q join rec b on b.id = c")
+def key_recall(spark, sf_dir):
+    rec = records(spark, sf_dir).select("id", "name", "addr")
+    both = _truth(spark, sf_dir).join(rec.toDF("q", "n1", "a1"), "q").join(rec.toDF("c", "n2", "a2"), "c")
+    count = lambda test: F.sum(test.cast("int"))
+    return both.agg(F.count("*").alias("pairs"), count(F.substring_index("n1", " ", 1) == F.substring_index("n2", " ", 1)).alias("first_token"), count(F.substring("n1", 1, 4) == F.substring("n2", 1, 4)).alias("prefix4"),
+                    count(F.substring("n1", 1, 6) == F.substring("n2", 1, 6)).alias("prefix6"), count(F.arrays_overlap(F.split("a1", " "), F.split("a2", " "))).alias("addr_token"))
+
+
+_SETS = "{f}(list_distinct({a}), list_distinct({b}))"
+
+
+@query(f"with {REC}{POSTS}{SCORES}{CANDS}, s as (select q, c, list_distinct(string_split(a.name, ' ')) as x, list_distinct(string_split(b.name, ' ')) as y from cand join rec a on a.id = q join rec b on b.id = c where rank < 5) select q, c, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) as jaccard from s")
+def token_jaccard(spark, sf_dir):
+    rec = records(spark, sf_dir).select("id", F.array_distinct(F.split("name", " ")).alias("t"))
+    both = _candidates(spark, sf_dir).where("rank < 5").select("q", "c").join(rec.toDF("q", "x"), "q").join(rec.toDF("c", "y"), "c")
+    return both.select("q", "c", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("jaccard"))
+
+
+@query(f"with {REC}{POSTS}{SCORES}{CANDS} select q, c, round(jaro_winkler_similarity(a.name, b.name), 6) as jw from cand join rec a on a.id = q join rec b on b.id = c where rank < 5 and a.name <> '' and b.name <> ''")
+def jaro_winkler(spark, sf_dir):
+    rec = records(spark, sf_dir).select("id", "name").where("name <> ''")
+    both = _candidates(spark, sf_dir).where("rank < 5").select("q", "c").join(rec.toDF("q", "x"), "q").join(rec.toDF("c", "y"), "c")
+    return both.select("q", "c", F.round(kernels.jaro_winkler_similarity("x", "y"), 6).alias("jw"))
+
+
+@query()
+def string_scores(spark, sf_dir):
+    rec = records(spark, sf_dir).select("id", "name")
+    both = _candidates(spark, sf_dir).where("rank < 3").select("q", "c").join(rec.toDF("q", "x"), "q").join(rec.toDF("c", "y"), "c")
+    score = kernels.scorer([(n, n) for n in kernels.SCORERS])(*[F.col(s) for _ in kernels.SCORERS for s in ("x", "y")])
+    return both.select("q", "c", score.alias("s")).select("q", "c", "s.*")
+
+
+@query()
+def gbt_scores(spark, sf_dir):
+    cols = ["blk", "ncos", "acos", "rank", "in_name", "n_cand", "blk_rel", "blk_gap"]
+    truth = _truth(spark, sf_dir).withColumn("y", F.lit(1))
+    pairs = features.within_query(_candidates(spark, sf_dir)).join(truth, ["q", "c"], "left").na.fill(0, ["y"]).cache()
+    return matcher.predict(pairs, matcher.train(pairs, cols, rounds=5, depth=3), cols).select("q", "c", "y", "p")
+
+
+# --- parts as business records: view expressions -----------------------------------------------------------------------
+
+_NAME = "p_name || case p_partkey % 4 when 0 then ' Pvt Ltd' when 1 then ' Inc' when 2 then ' & Co' else ' SARL' end"
+_ADDR = "((p_partkey * 37) % 9000) || ' Main Rd, Unit ' || p_size || case when p_partkey % 3 = 0 then '' else ', Springfield' end || ', TX ' || lpad(p_partkey::varchar, 5, '0')"
+_LEGAL_SQL = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in lexicon.LEGAL.items()) + "}"
+_NV = f"""with r as (select p_partkey as id, {_NAME} as name from part), l as (select *, {LATIN.format("name")} as latin from r),
+t as (select *, list_filter(string_split(latin, ' '), lambda x: x <> '') as tk, {_LEGAL_SQL} as lg from l),
+c as (select *, regexp_replace(array_to_string(list_filter(tk, lambda x: len(map_extract(lg, x)) = 0), ' '), '^((and|et)( |$))+|( (and|et))+$', '', 'g') as core0 from t),
+v as (select *, case when core0 = '' then latin else core0 end as core from c)"""
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    suffix = F.when(k % 4 == 0, " Pvt Ltd").when(k % 4 == 1, " Inc").when(k % 4 == 2, " & Co").otherwise(" SARL")
+    address = F.concat((k * 37 % 9000).cast("string"), F.lit(" Main Rd, Unit "), F.col("p_size").cast("string"), F.when(k % 3 == 0, "").otherwise(", Springfield"), F.lit(", TX "), F.lpad(k.cast("string"), 5, "0"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.concat("p_name", suffix).alias("name"), address.alias("address"), F.lit("US").alias("country"))
+
+
+@query(f"{_NV} select id, latin as name_latin, core as name_core, replace(core, ' ', '') as name_compact, split_part(core, ' ', 1) as name_first, array_to_string(list_transform(list_filter(tk, lambda x: x not in ('and', 'the', 'of', 'a', 'an', 'de', 'la', 'le', 'et', 'des', 'du')), lambda x: x[1]), '') as name_init, len(string_split(core, ' '))::smallint as name_ntok, (latin = '')::int::tinyint as name_empty from v")
+def name_views_latin(spark, sf_dir):
+    return views.name_views(_parts(spark, sf_dir)).select("id", "name_latin", "name_core", "name_compact", "name_first", "name_init", "name_ntok", "name_empty")
+
+
+@query(f"{_NV} select id, array_to_string(list_sort(list_distinct(list_transform(list_filter(tk, lambda x: len(map_extract(lg, x)) > 0), lambda x: lg[x]))), ' ') as name_legal from v")
+def legal_features(spark, sf_dir):
+    return views.name_views(_parts(spark, sf_dir)).select("id", "name_legal")
+
+
+_AV = f"with r as (select p_partkey as id, {_ADDR} as address from part), v as (select *, {LATIN.format('address')} as plain from r)"
+
+
+@query(f"{_AV} select id, plain as addr_plain, array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split(plain, ' '), lambda t: regexp_full_match(t, '[0-9]+')), lambda t: case when regexp_full_match(t, '0+') then '0' else ltrim(t, '0') end))), ' ') as addr_num, len(list_filter(string_split(address, ','), lambda t: trim(t) <> ''))::smallint as addr_ncomp, (case when trim(address) = '' then 1 else 0 end)::tinyint as addr_missing from v")
+def addr_views(spark, sf_dir):
+    return views.address_views(_parts(spark, sf_dir)).select("id", "addr_plain", "addr_num", "addr_ncomp", "addr_missing")
+
+
+@query(f"{_AV} select id, coalesce(list_last(regexp_extract_all(address, '\\b([0-9]{{5}})(?:-[0-9]{{4}})?\\b', 1)), '') as addr_postal, regexp_extract(address, 'Unit ([0-9]+)', 1) as addr_unit from v")
+def postal_unit_extract(spark, sf_dir):
+    return views.address_views(_parts(spark, sf_dir)).select("id", "addr_postal", "addr_unit")
+
+
+@query(f"{_AV} select id, replace(plain, ' rd ', ' road ') as addr_latin from v")
+def street_expansion(spark, sf_dir):
+    return views.address_views(_parts(spark, sf_dir), streets=True).select("id", F.regexp_replace("addr_latin", " TX ", " tx ").alias("addr_latin"))
+
+
+@query("""with h as (select o_orderkey as q, (o_custkey * 7 % 12000)::varchar as a, (o_orderkey * 11 % 12000)::varchar as b from orders), d as (select *, abs(a::double - b::double) as d, levenshtein(a, b) as l from h)
+select q, 1 as hn_both, (a::double = b::double)::int as hn_eq, round(ln(1 + d), 6) as hn_absdiff, round(d / greatest(a::double, b::double, 1.0), 6) as hn_reldiff, l::int as hn_lev, (l = abs(length(a) - length(b)) and length(a) <> length(b))::int as hn_trunc from d""")
+def house_number_features(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("q"), (F.col("o_custkey") * 7 % 12000).cast("string").alias("a"), (F.col("o_orderkey") * 11 % 12000).cast("string").alias("b"))
+    made = features.house(F.col("a"), F.col("b"))
+    return df.select("q", *[(F.round(x, 6) if n in ("hn_absdiff", "hn_reldiff") else x).alias(n) for n, x in made.items()])
+
+
+@query("""with h as (select o_orderkey as q, case when o_orderkey % 5 = 0 then '' else (o_custkey % 50)::varchar end as a, case when o_orderkey % 7 = 0 then '' else (o_orderkey % 50)::varchar end as b from orders)
+select q, (a <> '' and a = b)::int as eq, (a <> '' and b <> '' and a <> b)::int as conflict from h""")
+def exact_flags(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    df = table(spark, sf_dir, "orders").select(k.alias("q"), F.when(k % 5 == 0, "").otherwise((c % 50).cast("string")).alias("a"), F.when(k % 7 == 0, "").otherwise((k % 50).cast("string")).alias("b"))
+    return df.select("q", features.equal(F.col("a"), F.col("b")).alias("eq"), features.conflict(F.col("a"), F.col("b")).alias("conflict"))
+
+
+# --- line items as scored pairs ----------------------------------------------------------------------------------------
+
+PAIRS = """pairs as (select l_orderkey as q, l_partkey as c, max(l_discount * 10) as p, max((l_returnflag = 'R')::int) as y from lineitem group by all),
+ent as (select o_orderkey as q, case o_orderkey % 3 when 0 then 'US' when 1 then 'India' else 'France' end as country, coalesce(t, 0)::bigint as tsize from orders left join (select q, sum(y) as t from pairs group by q) s on o_orderkey = q)"""
+DECIDE = """, d1 as (select * from pairs where p >= {thr}), d2 as (select * from (select *, row_number() over (partition by c order by p desc, q) as r from d1) where r <= {top}),
+d3 as (select q, c, p, y from (select *, row_number() over (partition by q order by p desc, c) as k from d2) where k <= {cap})"""
+SCORED = """, m as (select q, sum(y)::bigint as tp, count(*) as npred from d3 group by q), e as (select ent.q, country, tsize, coalesce(tp, 0) as tp, coalesce(npred, 0) as npred from ent left join m on ent.q = m.q),
+f as (select *, case when tsize = 0 then (npred = 0)::int::double when tp = 0 then 0 else 1.25 * (tp / npred) * (tp / tsize) / (0.25 * (tp / npred) + tp / tsize) end as f05 from e)"""
+MEANS = """count(*) as n, round(avg(f05), 6) as f05, round(avg(case when tsize > 0 then case when npred > 0 then tp / npred else 0 end end), 6) as mean_p, round(avg(case when tsize > 0 then tp / tsize end), 6) as mean_r,
+round(avg(case when tsize = 0 then (npred = 0)::int end), 6) as singleton_acc, round(avg(npred), 6) as pred_per_q"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
+    return items.groupBy(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("c")).agg(F.max(F.col("l_discount") * 10).alias("p"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("y"))
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _pairs(spark, sf_dir).groupBy("q").agg(F.sum("y").alias("tsize"))
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(k.alias("q"), F.when(k % 3 == 0, "US").when(k % 3 == 1, "India").otherwise("France").alias("country"))
+    return orders.join(sizes, "q", "left").na.fill(0, ["tsize"])
+
+
+def _scored(spark: SparkSession, sf_dir: str, threshold: float = 0.7, cap: int = 3) -> DataFrame:
+    return decide.entity_scores(decide.decide(_pairs(spark, sf_dir), threshold, cap), _entities(spark, sf_dir))
+
+
+_D = DECIDE.format(thr=0.7, top=1, cap=3)
+
+
+@query(f"with {PAIRS}{DECIDE.format(thr=0.5, top=1, cap=15)} select q, c, p, y from d3")
+def decide_resolve(spark, sf_dir):
+    return decide.decide(_pairs(spark, sf_dir), 0.5)
+
+
+@query(f"with {PAIRS}{DECIDE.format(thr=0.2, top=1, cap=2)} select q, c, p, y from d3")
+def decide_cap(spark, sf_dir):
+    return decide.decide(_pairs(spark, sf_dir), 0.2, cap=2)
+
+
+@query(f"with {PAIRS}{DECIDE.format(thr=0.5, top=1000000000, cap=3)} select q, c, p, y from d3")
+def decide_no_resolve(spark, sf_dir):
+    return decide.decide(_pairs(spark, sf_dir), 0.5, cap=3, resolve=False)
+
+
+@query(f"with {PAIRS}{_D}{SCORED} select q, country, tsize, tp, npred, round(f05, 6) as f05 from f")
+def f05_entities(spark, sf_dir):
+    return _scored(spark, sf_dir).select("q", "country", "tsize", "tp", "npred", F.round("f05", 6).alias("f05"))
+
+
+@query(f"with {PAIRS}{_D}{SCORED} select {MEANS} from f")
+def f05_macro(spark, sf_dir):
+    return decide.report(_scored(spark, sf_dir))
+
+
+@query(f"with {PAIRS}{_D}{SCORED} select country, {MEANS} from f group by country")
+def f05_by_country(spark, sf_dir):
+    return decide.report(_scored(spark, sf_dir), ("country",))
+
+
+_WEIGHTS = "(values ('US', 0.4), ('India', 0.45), ('France', 0.15)) w(country, w)"
+
+
+@query(f"with {PAIRS}{_D}{SCORED}, g as (select country, avg(f05) as f from f group by country) select round(sum(w * f) / sum(w), 6) as f05_testmix from g join {_WEIGHTS} on g.country = w.country")
+def testmix_weighted(spark, sf_dir):
+    weights = spark.createDataFrame([("US", 0.4), ("India", 0.45), ("France", 0.15)], "country string, w double")
+    means = _scored(spark, sf_dir).groupBy("country").agg(F.avg("f05").alias("f")).join(weights, "country")
+    return means.agg(F.round(F.sum(F.col("w") * F.col("f")) / F.sum("w"), 6).alias("f05_testmix"))
+
+
+_GRID = [0.1, 0.3, 0.5, 0.7, 0.9]
+
+
+@query(f"""with {PAIRS}, g as (select unnest([0.1, 0.3, 0.5, 0.7, 0.9]::double[]) as thr), d1 as (select thr, pairs.* from pairs, g where p >= thr),
+d2 as (select * from (select *, row_number() over (partition by thr, c order by p desc, q) as r from d1) where r = 1), d3 as (select thr, q, c, y from (select *, row_number() over (partition by thr, q order by p desc, c) as k from d2) where k <= 15),
+m as (select thr, q, sum(y)::bigint as tp, count(*) as npred from d3 group by all), e as (select g.thr, ent.q, country, tsize, coalesce(tp, 0) as tp, coalesce(npred, 0) as npred from ent cross join g left join m on ent.q = m.q and g.thr = m.thr),
+f as (select *, case when tsize = 0 then (npred = 0)::int::double when tp = 0 then 0 else 1.25 * (tp / npred) * (tp / tsize) / (0.25 * (tp / npred) + tp / tsize) end as f05 from e) select thr, {MEANS} from f group by thr""")
+def threshold_grid(spark, sf_dir):
+    return decide.threshold_grid(_pairs(spark, sf_dir), _entities(spark, sf_dir), _GRID)
+
+
+@query(f"""with {PAIRS}, b as (select * from (select *, row_number() over (partition by c order by p desc, q) as r from pairs where p >= 0.5) where r = 1), b2 as (select *, row_number() over (partition by q order by p desc, c) as k from b), a2 as (select * from b2 where p >= 0.7),
+am as (select q, sum(y)::bigint as tp, count(*) as npred from (select *, row_number() over (partition by q order by p desc, c) as kk from a2) where kk <= 15 group by q), bm as (select q, sum(y)::bigint as tp, count(*) as npred from b2 where k <= 15 group by q),
+e as (select ent.q, country, tsize, coalesce(am.tp, 0) as ta, coalesce(am.npred, 0) as na, coalesce(bm.tp, 0) as tb, coalesce(bm.npred, 0) as nb from ent left join am on ent.q = am.q left join bm on ent.q = bm.q),
+d as (select country, (case when tsize = 0 then (nb = 0)::int::double when tb = 0 then 0 else 1.25 * (tb / nb) * (tb / tsize) / (0.25 * (tb / nb) + tb / tsize) end) - (case when tsize = 0 then (na = 0)::int::double when ta = 0 then 0 else 1.25 * (ta / na) * (ta / tsize) / (0.25 * (ta / na) + ta / tsize) end) as x from e),
+g as (select country, count(*) as n, avg(x) as m, var_pop(x) * count(*) as ss from d group by country)
+select round(sum(w * m) / sum(w), 6) as delta, round(sqrt(sum((w / n) ** 2 * ss)) / sum(w), 6) as se from g join {_WEIGHTS} on g.country = w.country""")
+def paired_delta(spark, sf_dir):
+    weights = spark.createDataFrame([("US", 0.4), ("India", 0.45), ("France", 0.15)], "country string, w double")
+    return decide.paired_delta(_scored(spark, sf_dir, 0.7, 15), _scored(spark, sf_dir, 0.5, 15), weights)
+
+
+@query(f"with {PAIRS}{_D} select ent.q, coalesce(string_agg(c, ',' order by p desc, c), '') as matched_ids from ent left join d3 on ent.q = d3.q group by ent.q")
+def matching_lists(spark, sf_dir):
+    return decide.lists(decide.decide(_pairs(spark, sf_dir), 0.7, 3), _entities(spark, sf_dir), [(-F.col("p")).alias("o"), F.col("c").alias("o2")], "matched_ids")
+
+
+@query(f"with {PAIRS}{_D}{SCORED} select country, round(avg(npred), 6) as mean_pred, round(avg((npred = 0)::int), 6) as empty_share, round(avg((npred >= 2)::int), 6) as many_share, sum(npred)::bigint as links from f group by country")
+def prediction_profile(spark, sf_dir):
+    n = F.col("npred")
+    return _scored(spark, sf_dir).groupBy("country").agg(F.round(F.avg(n), 6).alias("mean_pred"), F.round(F.avg((n == 0).cast("int")), 6).alias("empty_share"), F.round(F.avg((n >= 2).cast("int")), 6).alias("many_share"), F.sum(n).alias("links"))
+
+
+@query(f"with {PAIRS} select tsize, count(*) as n from ent group by tsize")
+def gt_distribution(spark, sf_dir):
+    return _entities(spark, sf_dir).groupBy("tsize").agg(F.count("*").alias("n"))
+
+
+@query("select p_partkey as c from part where p_partkey not in (select l_partkey from lineitem where l_returnflag = 'R')")
+def orphans(spark, sf_dir):
+    used = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("c"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("c")).join(used, "c", "left_anti")
+
+
+@query("select o_orderkey as q from orders where ('0x' || substr(md5(o_orderkey || '|s1'), 1, 8))::bigint / 4294967296.0 < 0.1")
+def hash_sample(spark, sf_dir):
+    return sampling.bernoulli(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("q")), "q", 0.1, "s1")
+
+
+@query("select o_orderkey as q from orders order by md5(o_orderkey || '|s2'), o_orderkey limit 500")
+def fixed_sample(spark, sf_dir):
+    return sampling.fixed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("q")), "q", 500, "s2")
+
+
+@query("""with a as (select n_name as country, count(distinct c_custkey) as q1, count(o_orderkey) as p1 from nation join customer on n_nationkey = c_nationkey left join orders on o_custkey = c_custkey group by n_name),
+b as (select n_name as country, count(distinct s_suppkey) as q2, count(l_orderkey) as p2 from nation join supplier on n_nationkey = s_nationkey left join lineitem on l_suppkey = s_suppkey group by n_name)
+select a.country, round(greatest(0.0, least(1.0, (p2 / q2 - p1 / q1) * q1 / p2)), 6) as fraction from a join b on a.country = b.country""")
+def density_fraction(spark, sf_dir):
+    t = lambda name: table(spark, sf_dir, name)
+    a = t("nation").join(t("customer"), F.col("n_nationkey") == F.col("c_nationkey")).join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("n_name").agg(F.countDistinct("c_custkey"), F.count("o_orderkey"))
+    b = t("nation").join(t("supplier"), F.col("n_nationkey") == F.col("s_nationkey")).join(t("lineitem"), F.col("l_suppkey") == F.col("s_suppkey"), "left").groupBy("n_name").agg(F.countDistinct("s_suppkey"), F.count("l_orderkey"))
+    return sampling.density_fraction(a, b)
+
+
+@query("select n_nationkey as nation, (c is not null)::int as on_query_side, (s is not null)::int as on_pool_side from nation left join (select distinct c_nationkey as c from customer where c_custkey % 97 = 0) on n_nationkey = c left join (select distinct s_nationkey as s from supplier) on n_nationkey = s where c is not null or s is not null")
+def countries_diff(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").where("c_custkey % 97 = 0").select(F.col("c_nationkey").alias("nation")).distinct().withColumn("a", F.lit(1))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")).distinct().withColumn("b", F.lit(1))
+    return a.join(b, "nation", "full").select("nation", F.coalesce("a", F.lit(0)).alias("on_query_side"), F.coalesce("b", F.lit(0)).alias("on_pool_side"))
+
+
+@query(f"with {PAIRS}{_D} select (select count(*) from ent) as queries, (select count(distinct q) from ent) as distinct_queries, (select count(*) from d3) as matches, (select count(*) from (select c from d3 group by c having count(*) > 1)) as used_twice")
+def completeness_check(spark, sf_dir):
+    ent, done = _entities(spark, sf_dir), decide.decide(_pairs(spark, sf_dir), 0.7, 3)
+    a = ent.agg(F.count("*").alias("queries"), F.countDistinct("q").alias("distinct_queries"))
+    b = done.groupBy("c").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("matches"), F.count(F.when(F.col("n") > 1, 1)).alias("used_twice"))
+    return a.crossJoin(b)  # one row each
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
