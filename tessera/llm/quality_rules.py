@@ -57,7 +57,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: LineRules = Li
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     df = docs.select(*own, text.alias("__t"))
     df = df.withColumn("__w", words_of(_trimmed(F.col("__t"))))
-    df = df.withColumn("__n", F.size("__w"))
+    df = df.withColumn("__n", F.size("__w")).withColumn("word_chars", F.length(F.array_join("__w", "")).cast("long"))
     # (hash, position) of each 3-word window, equal windows side by side
     window = F.when(F.col("__n") >= 3, F.expr("sort_array(transform(sequence(0, __n - 3), i -> struct(xxhash64(__w[i], __w[i + 1], __w[i + 2]) as h, i as i)))"))
     df = df.withColumn("__s", window).drop("__w")
@@ -78,8 +78,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: LineRules = Li
     df = df.select(
         *own, "__t", "n_repeat_words",
         F.col("__n").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("__t", r"[ \t-\r]+", "")).cast("long").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        "word_chars",
+        (F.length("__t") - F.length(F.regexp_replace("__t", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("__f", lambda x: x["bad"])).cast("long").alias("n_bad_lines"),
         F.aggregate(F.filter("__f", lambda x: x["bad"]), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_bad_words"),
@@ -94,9 +94,10 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: LineRules = Li
 
 def _bad(line: Column, n: Column, rules: LineRules) -> Column:
     """Whether a trimmed line of n words fails a rule."""
-    navigation = F.regexp_count(line, F.lit(r"(?<!\S)[|»›•·>/](?!\S)")) > rules.separator_share * n
+    marked = line.rlike(r"[|»›•·>/#*$%&!]")  # most lines have none of these and need no counting
+    navigation = F.regexp_count(line, F.lit(r"[|»›•·>/](?!\S)(?<!\S.)")) > rules.separator_share * n
     symbols = F.regexp_count(line, F.lit(r"[#*$%&]{2,}")) > rules.symbol_share * n
     shouting = F.regexp_count(line, F.lit(r"!(?!\S)")) > rules.shout_share * n
     runon = (n >= rules.unpunctuated_words) & ~line.rlike(r"[.!?…:;,\"'”’»)\]]$")
     boilerplate = (n <= rules.boilerplate_words) & line.rlike(rules.boilerplate)
-    return navigation | symbols | shouting | runon | boilerplate
+    return F.when(marked, navigation | symbols | shouting).otherwise(False) | runon | boilerplate
