@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.text import written
 from tessera.llm.url_filter import host_and_path
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -277,6 +278,7 @@ def induce(pages: DataFrame, host: Column, id_col: str, html_col: str) -> DataFr
 
     trees = rows.mapInArrow(skeletons, f"host string, id long, tree {TREE_SQL}")
     first = trees.groupBy("host").agg(F.min_by("tree", F.struct("id", "tree")).alias("ref"), F.count("*").alias("n")).where("n > 1").select("host", "ref")
+    first, _ = written(first, "references")  # read again, the join has plain exchanges, and Spark can split a hot host
 
     def align(batches):
         kept: dict[str, tuple] = {}
@@ -298,7 +300,7 @@ def induce(pages: DataFrame, host: Column, id_col: str, html_col: str) -> DataFr
     most = masses.groupBy("host").agg(F.max("mass").alias("most"))
     deep = masses.join(most, "host").where(F.col("mass") >= NEARLY_ALL * F.col("most"))
     best = deep.groupBy("host").agg(F.max(F.struct(F.size(F.split("path", "/")).alias("d"), "mass", "path")).alias("m"))
-    return best.select("host", _widened(F.col("m.path")).alias("region"))
+    return written(best.select("host", _widened(F.col("m.path")).alias("region")), "wrappers")[0]
 
 
 def _widened(path: Column) -> Column:

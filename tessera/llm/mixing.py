@@ -134,7 +134,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = [Source(i, r["source"], r["words"], r["rows"], targets[i], got.get(i, 0)) for i, r in enumerate(found)]
     before = counts.withColumn("base", F.sum("n").over(W.partitionBy("source_at").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)))
     before = before.select("chunk", "source_at", F.coalesce("base", F.lit(0)).alias("base"))
-    placed = chunks.mapInArrow(place_slots, "chunk long, source_at long, slot long, rank long").join(before, ["chunk", "source_at"])
+    placed = chunks.mapInArrow(place_slots, "chunk long, source_at long, slot long, rank long").join(before.hint("merge"), ["chunk", "source_at"])
     placed = placed.select("slot", "source_at", (F.col("base") + F.col("rank")).alias("block"))
 
     facts = _literal(spark, sources, block, cap)
@@ -146,12 +146,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sums = full.groupBy("source_at", "epoch", "range").agg(F.sum("size").alias("n"))
     offs = sums.select("source_at", "epoch", "range", F.coalesce(F.sum("n").over(W.partitionBy("source_at", "epoch").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("off"))
     inner = F.sum("size").over(W.partitionBy("source_at", "epoch", "range").orderBy("h", "id", "size", "copy").rowsBetween(W.unboundedPreceding, W.currentRow))
-    spans = full.withColumn("upto", inner).join(offs, ["source_at", "epoch", "range"])
+    spans = full.withColumn("upto", inner).join(offs.hint("merge"), ["source_at", "epoch", "range"])
     begin = F.col("epoch") * F.col("s_size") + F.col("off") + F.col("upto") - F.col("size")
     spans = spans.select("id", "copy", "size", "source_at", "epoch", "s_end", begin.alias("a"))
     spans = spans.where(F.col("a") < F.col("s_end"))
     pieces = spans.withColumn("block", F.explode(F.expr(f"sequence(a div {block}, (least(a + size, s_end) - 1) div {block})")))
-    joined = placed.join(pieces, ["source_at", "block"])
+    joined = placed.join(pieces.hint("merge"), ["source_at", "block"])  # both grow with the corpus: never broadcast
     upto = F.least(F.lit(block), F.lit(total) - F.col("slot") * block) + F.col("block") * block  # the last slot may be shorter
     start, stop = F.greatest("a", F.col("block") * block), F.least(F.col("a") + F.col("size"), "s_end", upto)
     schedule = joined.where(stop > start).select("slot", "source_at", "block", "id", "copy", "epoch", (start - F.col("a")).alias("start"), (stop - F.col("a")).alias("stop"))

@@ -9,9 +9,9 @@ Candidates are settled without ever listing a bucket's pairs:
 
 1. texts with equal sets become one node;
 2. each bucket ties its nodes to its least node; ties whose bit sketches prove them below the limit go;
-3. buckets that still hold several components are searched in blocks: pairs of different components whose sketches allow
-   the limit become ties as well;
-4. ties are confirmed on the full sets, a spanning forest first, then whatever ties still run between components;
+3. ties are confirmed on the full sets, a spanning forest first, then whatever ties still run between components;
+4. buckets that still hold several components of confirmed links are searched in blocks: pairs of different components
+   whose sketches allow the limit are ties too, and are confirmed likewise;
 5. components of the confirmed links are the result.
 """
 
@@ -138,7 +138,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     stars = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     stars = stars.join(looks.toDF("a", "n_a", "s_a"), "a").join(looks.toDF("b", "n_b", "s_b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
     ties, _ = written(stars.mapInArrow(allowed, "a long, b long, far double"), "ties")
-    labels = components(ties.select("a", "b"))
+    links = _confirmed(rows, ties, shingle, percent)
+    labels = components(links)
 
     # buckets that hold several components: pairs across components, in blocks
     named = members.join(labels, "node", "left").select("key", "t", "node", "m", F.coalesce("component", "node").alias("label"))
@@ -154,8 +155,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             yield _across(group, banding, percent)
 
     more, _ = written(open_.mapInArrow(across, "a long, b long, far double"), "more-ties")
-    ties = ties.unionByName(more)
-    links = _confirmed(rows, ties, shingle, percent)
+    if more.limit(1).count():
+        links = links.union(_confirmed(rows, more, shingle, percent))
     final = components(links)
 
     ids = signed.select("id", "n", "d1", "d2").join(nodes.select("d1", "d2", "node"), ["d1", "d2"], "left")
