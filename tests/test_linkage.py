@@ -79,7 +79,7 @@ def test_decide_rules(spark):
 
 
 def test_link_with_unseen_labels(spark):
-    rows = [(1, True, "Alpha Beta Inc", "1 Elm St", "US"), (2, False, "Alpha Beta", "1 Elm Street", "US"), (3, True, "Gamma", "", "Atlantis"), (4, False, "Delta", None, "Germany")]
+    rows = [(1, True, "Alpha Beta Inc", "1 Elm St", "US"), (2, False, "Alpha Beta", "1 Elm Street", "US"), (3, True, "Gamma", "", "Atlantis"), (4, False, "Delta", None, "Germany"), (5, False, "Omega Psi", "9 Oak Ave", "US")]  # a pool of one record has no telling tokens
     recs = spark.createDataFrame(rows, "id long, is_query boolean, name string, address string, country string")
     scored, decided = link(recs, Linkage(), lambda f: f.withColumn("p", (features.F.col("n_core_tset") / 100).cast("double")))
     assert [(r.q, r.c) for r in decided.select("q", "c").collect()] == [(1, 2)]
