@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.text import mix, parts, word_shingles, written
+from tessera.llm.text import among, mix, parts, removed, word_shingles, written
 
 #: Bits of a sketch; the sketch of a set has a bit for each element's hash.
 SKETCH_BITS = 2048
@@ -124,8 +124,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
                 yield pa.RecordBatch.from_arrays([_long(table.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), len(pairs))), pa.array(np.tile(np.arange(len(pairs), dtype=np.int16), part.num_rows))], ["key", "node", "t"])
 
     keyed = nodes.select("node", "keys").mapInArrow(tables, "key long, node long, t short")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("m")).where("m > 1")
-    members, _ = written(keyed.join(shared, "key"), "members")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members, members_path = written(keyed.join(shared, "key"), "members")
+    leasts = members.groupBy("key").agg(F.min("node").alias("least"))
 
     def allowed(batches):
         for b in batches:
@@ -135,7 +136,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[ok]), pa.array(b.column(1).to_numpy()[ok]), pa.array((apart / np.maximum(na + nb, 1))[ok])], ["a", "b", "far"])
 
     looks = nodes.select("node", "n", "sketch")
-    stars = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    stars = members.join(leasts, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     stars = stars.join(looks.toDF("a", "n_a", "s_a"), "a").join(looks.toDF("b", "n_b", "s_b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
     ties, _ = written(stars.mapInArrow(allowed, "a long, b long, far double"), "ties")
     links = _confirmed(rows, ties, shingle, percent)
@@ -155,6 +156,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             yield _across(group, banding, percent)
 
     more, _ = written(open_.mapInArrow(across, "a long, b long, far double"), "more-ties")
+    removed(docs.sparkSession, members_path)
     if more.limit(1).count():
         links = links.union(_confirmed(rows, more, shingle, percent))
     final = components(links)
@@ -231,8 +233,9 @@ def _confirmed(rows: DataFrame, ties: DataFrame, shingle: int, percent: int) ->
                 sets = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(value)])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), sets], ["node", "elements"])
 
-    texts = rows.join(active, rows["id"] == active["node"]).select("node", "text")
-    sets, _ = written(texts.mapInArrow(gather, "node long, elements binary"), "sets")
+    texts = among(rows, "id", active.select("node"))
+    texts = texts.join(active, texts["id"] == active["node"]).select("node", "text")
+    sets, sets_path = written(texts.mapInArrow(gather, "node long, elements binary"), "sets")
 
     def confirm(batches):
         for b in batches:
@@ -244,7 +247,7 @@ def _confirmed(rows: DataFrame, ties: DataFrame, shingle: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok)], ["a", "b", "linked"])
 
     left = ties.groupBy("a", "b").agg(F.min("far").alias("far"))
-    left, _ = written(left, "ties-left")
+    left, left_path = written(left, "ties-left")
     links, done = None, 0
     while True:
         if done == 0:  # the nearest tie of each node
@@ -253,7 +256,8 @@ def _confirmed(rows: DataFrame, ties: DataFrame, shingle: int, percent: int) ->
             pick = left.groupBy("la", "lb").agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("e")).select("e.a", "e.b")
         else:
             pick = left.select("a", "b")
-        both = pick.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        asked = among(sets, "node", pick.select(F.explode(F.array("a", "b")).alias("node")))
+        both = pick.join(asked.toDF("a", "x"), "a").join(asked.toDF("b", "y"), "b").select("a", "b", "x", "y")
         checked, _ = written(both.mapInArrow(confirm, "a long, b long, linked boolean"), "checked")
         good = checked.where("linked").select("a", "b")
         links = good if links is None else links.union(good)
@@ -262,7 +266,10 @@ def _confirmed(rows: DataFrame, ties: DataFrame, shingle: int, percent: int) ->
         rest = rest.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
         rest = rest.select("a", "b", "far", F.coalesce("la", "a").alias("u"), F.coalesce("lb", "b").alias("v")).where("u <> v")
         rest = rest.select("a", "b", "far", F.least("u", "v").alias("la"), F.greatest("u", "v").alias("lb"))
-        left, _ = written(rest, "ties-left")
+        last_path = left_path
+        left, left_path = written(rest, "ties-left")
+        removed(rows.sparkSession, last_path)
         done += 1
         if not left.limit(1).count():
+            removed(rows.sparkSession, sets_path, left_path)
             return links
