@@ -195,7 +195,7 @@ def among(df, column: str, ids):
     from pyspark.sql import functions as F
 
     slot = lambda name: F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
-    marks = ids.select(slot(ids.columns[0]).alias("slot")).select(F.shiftright("slot", 15).alias("chunk__"), (F.col("slot") % 32768).alias("at"))
+    marks = ids.select(slot(ids.columns[0]).alias("slot")).distinct().select(F.shiftright("slot", 15).alias("chunk__"), (F.col("slot") % 32768).alias("at"))
     marks = marks.repartition("chunk__").groupBy("chunk__").agg(F.bitmap_construct_agg("at").alias("marks__"))
     asked = df.withColumn("slot__", slot(column)).withColumn("chunk__", F.shiftright("slot__", 15))
     hit = asked.join(F.broadcast(marks), "chunk__").where("getbit(cast(conv(hex(substring(marks__, cast((slot__ % 32768) div 8 as int) + 1, 1)), 16, 10) as bigint), cast(slot__ % 8 as int)) = 1")
