@@ -260,3 +260,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(got) == set(range(12)) and all(r.taken <= 3 * r.size for r in got.values())
     made = corpus_pipeline.surrogates(spark, docs(spark, [(24, rows[-1][1], "a")]), "").first()
     assert "bob.22@mail1" not in made.text and made.n_chars == len(made.text)
+
+
+def test_among_keeps_every_asked_row(spark):
+    from tessera.llm.text import among
+
+    rows = spark.range(2000).selectExpr("id", "cast(id as string) as chunk")
+    ids = spark.createDataFrame([(k,) for k in range(0, 2000, 7)] * 3 + [(None,)], "k long")
+    got = [r.id for r in among(rows, "id", ids).collect()]
+    assert set(range(0, 2000, 7)) <= set(got) and len(got) == len(set(got)) < 320
+    assert among(rows, "id", ids).columns == ["id", "chunk"]
+    assert among(rows, "id", ids.where("false")).count() == 0
