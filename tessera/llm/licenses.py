@@ -13,7 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-HINT = r"(?i)licen[sc]|copyright|\(c\)|©|warrant|permission|redistribut|spdx|public domain|as is"
+#: What any sentence of the table, or any unknown one, must hold in the text as written: between words may stand whatever
+#: ``normalise`` turns into a blank. RE2 and ``re`` read it alike, up to \W, where RE2 finds more.
+HINT = r"(?i)licen[sc]|copyright|\(c\)|©|warrant|permission|redistribut|spdx|rights[\W_]+reserved|later[\W_]+version|public[\W_]+domain|as[\W_]+is|endorse"
 
 #: (identifier, pattern over the whole normalised sentence). A group named v gives the identifier's version.
 SENTENCES: list[tuple[str, str]] = [
@@ -71,6 +73,8 @@ RULES: list[Rule] = [
 
 _SENTENCE = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 _ANY = re.compile(r"licen[sc]e|permission|redistribut|warrant")
+_HINT = re.compile(HINT)
+_NOTICE = ("Copyright", "AllRights")
 
 
 def normalise(sentence: str) -> str:
@@ -96,10 +100,8 @@ def identify(text: str) -> list[tuple[str, str, int, int]]:
     """(identifier, version, start, stop) of the known sentences; other sentences that speak of licences are ``Unknown``."""
     out = []
     for a, b in split(text):
-        if b - a > 2000 or not re.search(HINT, text[a:b]) and "later version" not in text[a:b]:
-            sentence = text[a:b] if b - a <= 2000 else ""
-            if not sentence or not any(w in sentence.lower() for w in ("compliance with", "obtain a copy")):
-                continue
+        if not _HINT.search(text, a, b):
+            continue
         norm = normalise(text[a:b])
         for name, pattern in _SENTENCE:
             if m := pattern.fullmatch(norm):
@@ -112,7 +114,10 @@ def identify(text: str) -> list[tuple[str, str, int, int]]:
 
 
 def licences(found: list[tuple[str, str, int, int]]) -> list[str]:
-    """Licences by the ordered rules, in order of their first sentences; a sentence serves one rule."""
+    """Licences by the ordered rules, in order of their first sentences; a sentence serves one rule.
+
+    A copyright notice within a licence or right before it belongs to that licence.
+    """
     names, used, out = [f[0] for f in found], [False] * len(found), []
     for rule in RULES:
         at = 0
@@ -120,7 +125,7 @@ def licences(found: list[tuple[str, str, int, int]]) -> list[str]:
             took, i, k = [], at, 0
             while k < len(rule.sequence):
                 want, free = rule.sequence[k].rstrip("?"), rule.sequence[k].endswith("?")
-                while i < len(names) and (used[i] or names[i] in ("Copyright", "AllRights", "Unknown") and want not in names[i : i + 1]):
+                while i < len(names) and (used[i] or names[i] in (*_NOTICE, "Unknown") and want not in names[i : i + 1]):
                     i += 1
                 if i < len(names) and names[i] == want:
                     took.append(i)
@@ -131,6 +136,11 @@ def licences(found: list[tuple[str, str, int, int]]) -> list[str]:
             if k == len(rule.sequence) and took:
                 for t in took:
                     used[t] = True
+                first = took[0]
+                while first and names[first - 1] in _NOTICE:
+                    first -= 1
+                for t in range(first, took[-1]):
+                    used[t] = used[t] or names[t] in _NOTICE
                 out.append((took[0], rule.licence.format(v=next((found[t][1] for t in took if found[t][1]), ""))))
             else:
                 at += 1

@@ -110,6 +110,24 @@ def test_licenses(spark):
     assert got[4].licences == got[5].licences == got[6].licences == [] and got[6].n_unknown == 1
 
 
+def test_licenses_every_sentence(spark):
+    said = {
+        "Copyright": "(c) 2020 A", "AllRights": "All rights-reserved.", "Spdx": "SPDX-License-Identifier: MIT", "ApacheRef": "Licensed under the Apache License, Version 2.0", "ApacheUse": "you may not use this file except in compliance with the License",
+        "ApacheCopy": "You may obtain a copy of the License at x", "ApacheAsIs": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS',
+        "MitRef": "Released under the MIT licence", "MitTitle": "The MIT License", "MitGrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the", "MitNotice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "AsIs": "The software is provided 'as\u00a0is'", "BsdUse": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "BsdSource": "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "BsdBinary": "Redistributions in binary form must reproduce the above copyright notice", "BsdNames": "Neither the name of A nor B may be used to endorse or promote products derived from this software", "GplRef": "under the GNU General Public License, version 3", "LgplRef": "under the GNU Lesser General Public License version 2.1",
+        "OrLater": "at your option any later  version", "GplNoWarranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "MplRef": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "CcRef": "Licensed under CC BY 4.0", "PublicDomain": "This work is in the public-domain",
+    }
+    names = [n for n, _ in licenses.SENTENCES]
+    assert sorted(said) == sorted(names)
+    rows = [*((i, said[n], "a") for i, n in enumerate(names)), (100, "(c) 2020 A. All rights reserved.", "a"), (101, "The MIT License\nCopyright A\nAll rights reserved.\n" + said["MitGrant"], "a"), (102, "copyright A " + "x " * 3000, "a"), (103, "we give a license " + "x " * 3000, "a")]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert [[s.identifier for s in got[i].sentences] for i in range(len(names))] == [[n] for n in names]
+    assert got[100].licences == ["Proprietary"] and got[101].licences == ["MIT"]
+    assert [s.identifier for s in got[102].sentences] == ["Copyright"] and got[103].n_unknown == 1
+
+
 def test_ordinal_held_out():
     rng = random.Random(1)
     texts, grades = [], []
