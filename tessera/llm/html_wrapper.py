@@ -32,6 +32,12 @@ NEVER = frozenset("head nav footer aside form script style noscript template but
 #: Words in class, id or role that mark what is not article text.
 ROLES = frozenset("ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar side aside widget comment comments commentlist disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs menu menubar nav navbar navigation toolbar pagination pager footer newsletter subscribe signup login search complementary contentinfo skip".split())
 _OUTSIDE = frozenset(["header", "masthead", "banner"])
+#: Words that may stand beside those in one class, id or role: they say only where or in what form. ``has-sidebar`` has another.
+_PLACE = frozenset("area bar block body bottom box button buttons center column container div feed form global inner item items left link links list outer panel posts primary right row secondary section site slot text top unit wrap wrapper x".split())
+#: Never barred by class, id or role.
+_NEVER_BY_ROLE = frozenset(["html", "body", "main"])
+#: Share of a text that is nearly all of it.
+NEARLY_ALL = 0.9
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
 _SCOPE = frozenset("table ul ol dl select article section div body html".split())
 
@@ -45,6 +51,7 @@ class Page:
         self.tag, self.parent, self.kids, self.out, self.text = ["#"], [-1], [[]], [False], [0]
         self.events: list[tuple[int, str | None]] = []
         stack, at, find, inside = [0], 0, _TOKEN.search, 0
+        roles: dict[int, bool] = {}
         while m := find(source, at):
             if m.start() > at:
                 self._say(stack[-1], source[at : m.start()])
@@ -72,7 +79,9 @@ class Page:
             self.kids.append([])
             self.kids[stack[-1]].append(node)
             self.text.append(0)
-            self.out.append(self.out[stack[-1]] or name in NEVER or name == "header" and not inside or bool(m[3]) and _barred(m[3], bool(inside)))
+            self.out.append(self.out[stack[-1]] or name in NEVER or name == "header" and not inside or bool(m[3]) and bool(_HIDDEN.search(m[3])))
+            if m[3] and name not in _NEVER_BY_ROLE and not self.out[node] and (role := _role(m[3], bool(inside))):
+                roles[node] = role == "compound" or name == "article"
             if name == "br":
                 self.events.append((node, " "))
             elif name in BLOCK:
@@ -87,6 +96,22 @@ class Page:
                 inside += name in ("article", "main")
         if at < len(source):
             self._say(stack[-1], source[at:])
+        if roles:
+            self._bar(roles)
+
+    def _bar(self, roles: dict[int, bool]) -> None:
+        """Bar the elements with a role and all below. One with most of the page's text is a wrapper and stays, if its role
+        is weak (True), it holds an article, main or h1, or it has nearly all text."""
+        n = len(self.tag)
+        mass = [0 if self.out[k] else self.text[k] for k in range(n)]
+        marks = [self.tag[k] in ("article", "main", "h1") and not self.out[k] and k not in roles for k in range(n)]
+        for k in range(n - 1, 0, -1):
+            mass[self.parent[k]] += mass[k]
+            if marks[k] and k not in roles:
+                marks[self.parent[k]] = True
+        for k in range(1, n):
+            wraps = k in roles and 2 * mass[k] > mass[0] and (roles[k] or marks[k] or mass[k] >= NEARLY_ALL * mass[0])
+            self.out[k] = self.out[k] or self.out[self.parent[k]] or k in roles and not wraps
 
     def _close(self, stack: list[int], name: str) -> None:
         shut = _CLOSES.get(name, ())
@@ -144,14 +169,18 @@ def hash_of(text: str) -> int:
 
 
 @lru_cache(10_000)
-def _barred(attributes: str, inside: bool) -> bool:
-    if _HIDDEN.search(attributes):
-        return True
+def _role(attributes: str, inside: bool) -> str:
+    """``whole`` if a class, id or role is one of ROLES, ``compound`` if one is made of them and of _PLACE, else empty."""
+    found = ""
     for m in _CLASS.finditer(attributes):
-        words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower()))
-        if words & ROLES or not inside and words & _OUTSIDE:
-            return True
-    return False
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())) - {""}
+            marks = words & (ROLES if inside else ROLES | _OUTSIDE)
+            if marks and words == marks and len(words) == 1:
+                return "whole"
+            if marks and words <= marks | _PLACE:
+                found = "compound"
+    return found
 
 
 def match(tags_a: list[str], kids_a: list[list[int]], tags_b: list[str], kids_b: list[list[int]]) -> list[tuple[int, int]]:
@@ -226,10 +255,6 @@ def region_masses(skeleton: tuple, constant: set[int]) -> dict[str, int]:
     return found
 
 
-#: Share of the varying text that a region must hold.
-NEARLY_ALL = 0.9
-
-
 def best_region(masses: dict[str, int]) -> str | None:
     """Deepest path with nearly all mass, widened to the article or main element around it."""
     if not masses:

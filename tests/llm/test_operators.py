@@ -178,6 +178,16 @@ def test_html(spark):
     assert texts[10].endswith("x") and texts[11] == texts[12] == "" and texts[13] == "just text\nmore"
 
 
+def test_html_compound_classes():
+    said = "<h1>Title</h1><p>" + prose(3, 40) + "</p>"
+    for page in ("<body class='has-sidebar'>%s</body>", "<div id='page' class='no-sidebar social'>%s</div>", "<article class='post comments-open'>%s</article>", "<main class='search-results'>%s</main>", "<body><div class='sidebar-right'>%s</div><p>end</p></body>", "<body class='search'><div class='widget hasSidebar'>%s</div></body>"):
+        assert prose(3, 40) in html_wrapper.extract(page % said, None), page
+    for role in ("class='comments'", "class='site-footer'", "id='cookieNotice'", "class='x comment-list'", "role=navigation", "class='ad-300x250'"):
+        assert html_wrapper.extract(f"<body><div {role}>apart</div><div>{said}<div {role}>apart</div></div></body>", None) == "Title\n" + prose(3, 40), role
+    many = "<article class='comment'>" + prose(4, 30) + "</article>"
+    assert html_wrapper.extract(f"<body><div>{said}</div><div class='comments'>{many * 2}</div></body>", None) == "Title\n" + prose(3, 40)
+
+
 def test_tree_matching():
     a, b = html_wrapper.Page("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"), html_wrapper.Page("<div><p>1</p><p>2</p></div>")
     assert len(html_wrapper.match(a.tag, a.kids, b.tag, b.kids)) == 4
