@@ -1,15 +1,17 @@
 """HTML extraction by wrapper induction.
 
 The DOM tree of each page is aligned with that of its host's reference page (the least page_id) by simple tree matching.
-Matched nodes with equal text are template; nodes that vary are slots. A host's content region is the deepest container
-that holds nearly all varying text outside menus, adverts and the like; every page of the host gives the text of its
-nodes on that path. Hosts of one page, and pages without the region, are judged by their own text alone.
+Matched nodes with equal text are template; nodes that vary are slots. A page's region is its article or main element if
+that holds nearly all varying text outside menus, adverts and the like, else the lowest container that holds all of it. A
+host's region is the one of most of its pages, and every page of the host gives the text of its nodes on that path, unless
+it holds varying text elsewhere: then its own region counts. Hosts of one page are judged by their own text alone.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Collection
 from functools import lru_cache
 
 import pyarrow as pa
@@ -247,7 +249,7 @@ def region_masses(skeleton: tuple, constant: set[int]) -> dict[str, int]:
     mass = [0 if out[n] or n in constant else lengths[n] for n in range(len(tags))]
     for n in range(len(tags) - 1, 0, -1):
         mass[parents[n]] += mass[n]
-    paths, found = [""], {}
+    paths, found = [""], {"": mass[0]} if mass[0] else {}
     for n in range(1, len(tags)):
         paths.append(f"{paths[parents[n]]}/{tags[n]}" if parents[n] else tags[n])
         if tags[n] in CONTAINER and not out[n] and mass[n]:
@@ -256,29 +258,39 @@ def region_masses(skeleton: tuple, constant: set[int]) -> dict[str, int]:
 
 
 def best_region(masses: dict[str, int]) -> str | None:
-    """Deepest path with nearly all mass, widened to the article or main element around it."""
+    """The article or main element with nearly all mass, else the deepest path with all of it; empty is the whole page."""
     if not masses:
         return None
-    need = NEARLY_ALL * max(masses.values())
-    best = max((p for p, m in masses.items() if m >= need), key=lambda p: (p.count("/"), masses[p], p))
-    steps = best.split("/")
-    for k in range(len(steps)):
-        if steps[k] in ("article", "main") and (steps[k] == "article" or "article" not in steps[k:]):
-            return "/".join(steps[: k + 1])
+    most = max(masses.values())
+    for share in (NEARLY_ALL, 1):
+        best = max((p for p, m in masses.items() if m >= share * most), key=lambda p: (p.count("/") + (p != ""), masses[p], p))
+        steps = best.split("/")
+        for k in range(len(steps)):
+            if steps[k] in ("article", "main") and (steps[k] == "article" or "article" not in steps[k:]):
+                return "/".join(steps[: k + 1])
     return best
 
 
-def extract(source: str, region: str | None) -> str:
-    """Main text of one page, from the region's nodes if it has them, else from its own best region."""
+def extract(source: str, region: str | None, template: Collection[int] = ()) -> str:
+    """Main text of one page: of the region's nodes if they hold all text outside ``template``, else of its own best region."""
     page = Page(source)
+    skeleton = page.skeleton()
+    own = best_region(region_masses(skeleton, {n for n, h in enumerate(skeleton[3]) if h in template} if template else set()))
+    if region is not None and (own is None or region in ("", own) or own.startswith(f"{region}/")):
+        at = _nodes(page, region)
+        if at is None or any(page.text[n] for n in _under(page, at)):
+            return page.main_text(at)
+    if own is None and template:
+        own = best_region(region_masses(skeleton, set()))
+    return page.main_text(_nodes(page, own) if own else None)
+
+
+def _nodes(page: Page, path: str) -> list[int] | None:
+    """The nodes of a path that are not barred; None for the whole page."""
     paths = [""]
     for n in range(1, len(page.tag)):
         paths.append(f"{paths[page.parent[n]]}/{page.tag[n]}" if page.parent[n] else page.tag[n])
-    at = [n for n in range(1, len(page.tag)) if paths[n] == region and not page.out[n]] if region else []
-    if not any(page.text[n] for n in _under(page, at)):
-        own = best_region(region_masses(page.skeleton(), set()))
-        at = [n for n in range(1, len(page.tag)) if paths[n] == own and not page.out[n]] if own else None
-    return page.main_text(at)
+    return [n for n in range(1, len(page.tag)) if paths[n] == path and not page.out[n]] if path else None
 
 
 def _under(page: Page, roots: list[int]) -> list[int]:
@@ -290,7 +302,10 @@ def _under(page: Page, roots: list[int]) -> list[int]:
 
 
 def induce(pages: DataFrame, host: Column, id_col: str, html_col: str) -> DataFrame:
-    """(host, region): the content region of each host that has two pages or more."""
+    """(host, region, template) of each host that has two pages or more.
+
+    ``template`` has the hashes of the reference's texts that stand at the same place on more than half of the pages.
+    """
     rows = pages.select(host.alias("host"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
 
     def skeletons(batches):
@@ -308,7 +323,7 @@ def induce(pages: DataFrame, host: Column, id_col: str, html_col: str) -> DataFr
     def align(batches):
         kept: dict[str, tuple] = {}
         for b in batches:
-            sums: dict[tuple[str, str], int] = {}
+            sums: dict[tuple[str, str | None, int | None], int] = {}
             for host, tree, ref in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if host not in kept:
                     kept.clear()
@@ -316,22 +331,22 @@ def induce(pages: DataFrame, host: Column, id_col: str, html_col: str) -> DataFr
                 ref, kids = kept[host]
                 pairs = match(tree["t"], _kids(tree["p"]), ref["t"], kids)
                 same = {a for a, r in pairs if tree["h"][a] == ref["h"][r]}
-                for path, mass in region_masses((tree["t"], tree["p"], tree["n"], tree["h"], tree["o"]), same).items():
-                    sums[host, path] = sums.get((host, path), 0) + mass
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], ["host", "path", "mass"])
-
-    masses = trees.join(first, "host").select("host", "tree", "ref").mapInArrow(align, "host string, path string, mass long")
-    masses = masses.groupBy("host", "path").agg(F.sum("mass").alias("mass"))
-    most = masses.groupBy("host").agg(F.max("mass").alias("most"))
-    deep = masses.join(most, "host").where(F.col("mass") >= NEARLY_ALL * F.col("most"))
-    best = deep.groupBy("host").agg(F.max(F.struct(F.size(F.split("path", "/")).alias("d"), "mass", "path")).alias("m"))
-    return written(best.select("host", _widened(F.col("m.path")).alias("region")), "wrappers")[0]
-
-
-def _widened(path: Column) -> Column:
-    article = F.regexp_extract(path, r"^((?:.*?/)?article)(?:/|$)", 1)
-    main = F.regexp_extract(path, r"^((?:.*?/)?main)(?:/|$)", 1)
-    return F.when(article != "", article).when(main != "", main).otherwise(path)
+                own = best_region(region_masses((tree["t"], tree["p"], tree["n"], tree["h"], tree["o"]), same))
+                facts = [(host, None, None), *((host, None, h) for h in {tree["h"][a] for a in same} if h)]
+                for key in facts if own is None else [*facts, (host, own, None)]:
+                    sums[key] = sums.get(key, 0) + 1
+            columns = [pa.array([k[i] for k in sums], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(sums.values()), pa.int64())], ["host", "path", "hash", "n"])
+
+    # a row for each page, its region and each text it shares with the reference; counted before any of them are listed
+    facts = trees.join(first, "host").select("host", "tree", "ref").mapInArrow(align, "host string, path string, hash long, n long")
+    facts = facts.groupBy("host", "path", "hash").agg(F.sum("n").alias("n"))
+    vote = F.max(F.when(F.col("path").isNotNull(), F.struct("n", F.size(F.split("path", "/")).alias("d"), "path")))
+    pages_n = F.max(F.when(F.col("path").isNull() & F.col("hash").isNull(), F.col("n")))
+    shared = F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("n", "hash")))
+    best = facts.groupBy("host").agg(vote.alias("m"), pages_n.alias("pages"), shared.alias("shared"))
+    template = F.expr("transform(filter(shared, s -> s.n * 2 > pages), s -> s.hash)")
+    return written(best.select("host", F.col("m.path").alias("region"), template.alias("template")), "wrappers")[0]
 
 
 TREE = pa.struct([("t", pa.list_(pa.string())), ("p", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("h", pa.list_(pa.int64())), ("o", pa.list_(pa.bool_()))])
@@ -349,11 +364,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     wrapper = induce(pages, host, id_col, html_col)
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"), host.alias("host"))
-    rows = rows.join(wrapper, "host", "left").select("page_id", "url", "html", "region")
+    rows = rows.join(wrapper, "host", "left").select("page_id", "url", "html", "region", "template")
 
     def run(batches):
         for b in batches:
-            texts = [extract(h or "", r) for h, r in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            texts = [extract(h or "", r, frozenset(t or ())) for h, r, t in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return rows.mapInArrow(run, f"page_id {kind}, url string, text string")

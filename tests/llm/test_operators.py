@@ -188,6 +188,18 @@ def test_html_compound_classes():
     assert html_wrapper.extract(f"<body><div>{said}</div><div class='comments'>{many * 2}</div></body>", None) == "Title\n" + prose(3, 40)
 
 
+def test_html_whole_region(spark):
+    page = "<html><body><nav>menu</nav><div class='post'><h1>Title %d</h1><p>Intro %d</p><div class='entry'><p>%s</p></div><p>Close %d</p></div><div><p>Always the same</p></div></body></html>"
+    other = "<html><body><div class='post'><p>short %d</p></div><section><h1>Other %d</h1><p>%s</p></section></body></html>"
+    rows = [(i, f"http://h.com/{i}", page % (i, i, prose(i, 200), i)) for i in range(1, 6)] + [(i, f"http://h.com/{i}", other % (i, i, prose(i, 30))) for i in (8, 9)]
+    rows += [(20, "http://solo.org/", page % (20, 20, prose(20, 200), 20))]
+    got = {r.page_id: r.text for r in html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in (1, 2, 3, 4, 5, 20):
+        assert f"Title {i}\nIntro {i}\n{prose(i, 200)}\nClose {i}" in got[i]
+    for i in (8, 9):
+        assert got[i] == f"short {i}\nOther {i}\n{prose(i, 30)}"
+
+
 def test_tree_matching():
     a, b = html_wrapper.Page("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"), html_wrapper.Page("<div><p>1</p><p>2</p></div>")
     assert len(html_wrapper.match(a.tag, a.kids, b.tag, b.kids)) == 4
