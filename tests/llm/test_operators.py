@@ -97,6 +97,19 @@ def test_pii(spark):
     assert pii.collisions(done).count() == 0 and pii.torn(done).count() == 0
 
 
+def test_pii_hint_covers_patterns(spark):
+    said = {
+        "email": ["a@b.com"], "ip": ["97.51.17.173"], "iban": ["DE44 5001 0517 5407 3249 31"], "card": ["4111 1111 1111 1111"], "ssn": ["123-45-6789"], "phone": ["+49 171 555 7713", "+٤٩ ١٧١ ٥٥٥ ٧٧١٣"],
+        "secret": ["password: correct-horse-battery-staple", "api_key=AbCdEfGhIjKlMnOpQr", "APIKEY = 'AbCdEfGhIjKlMnOpQr'", "Token=\tAbCdEfGhIjKlMnOpQr", "\u017fecret:AbCdEfGhIjKlMnOpQr", "passwd: AbCdEfGhIjKlMnOpQr", "access-key: AbCdEfGhIjKlMnOpQr", "ap\u0130_key: AbCdEfGhIjKlMnOpQr"],
+        "name": [f"{t} Bo Ek" for t in ("Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Mme")] + ["г-н Иван Ива", "г-жа Анна Ива"],
+    }
+    assert sorted(said) == sorted(pii.TYPES)
+    rows = [(kind, text) for kind, texts in said.items() for text in texts]
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, [(i, text, "a") for i, (_, text) in enumerate(rows)]), "k").collect()}
+    for i, (kind, text) in enumerate(rows):
+        assert [p.type for p in got[i].pii] == [kind] and got[i].text != text, text
+
+
 def test_permutation_is_one_cycle():
     for size in (2, 7, 100, 257):
         image = [pii.permute(x, size, b"k", "t") for x in range(size)]
