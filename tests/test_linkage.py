@@ -118,3 +118,10 @@ def test_against_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_string_scores_of_all_candidates(spark, tmp_path):
+    rows = [(3 * i, f"alpha beta{i} gamma", "en") for i in range(2)] + [(3 * i + 1, f"alpha delta{i} gamma" if i < 5 else f"other{i}", "en") for i in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    pairs, scored = ({(r.q, r.c) for r in linkage.queries()[q](spark, str(tmp_path)).collect()} for q in ("block_union", "string_scores"))
+    assert scored == pairs == {(3 * i, 3 * k + 1) for i in range(2) for k in range(5)}
