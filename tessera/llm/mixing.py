@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
 Each source's documents, shuffled anew for each epoch, form one stream of words that is cut into blocks of ``block``
-words. Slot n of the mix takes the golden-ratio point frac(n / phi); the point falls into one source's share of the
+words, or fewer if the smallest target asks for it. Slot n of the mix takes the golden-ratio point frac(n / phi); the point falls into one source's share of the
 cumulative targets, and the k-th slot of a source takes block k of its stream. Prefix sums over a source's documents are
 taken within hash ranges of its shuffled order and joined with the ranges' offsets, so no task holds a whole source.
 """
@@ -25,6 +25,10 @@ GOLDEN = 11400714819323198485
 CHUNK_SLOTS = 1 << 16
 #: Documents of one hash range of a shuffled source, about.
 RANGE_ROWS = 20_000
+#: A source's target should span so many blocks; the few slots that its points may stray are then a smaller part of it.
+BLOCKS = 7
+#: Blocks are not cut smaller than this many slots need.
+MOST_SLOTS = 1 << 25
 #: Sources are collected to the driver; more than this is refused.
 MAX_SOURCES = 100_000
 
@@ -70,6 +74,12 @@ def fill_targets(sizes: list[int], weights: list[float], cap: float) -> list[flo
     return out
 
 
+def fitting(targets: list[float], block: int) -> int:
+    """``block``, or fewer words, so that the smallest positive target spans BLOCKS of them, within MOST_SLOTS slots."""
+    least = min((t for t in targets if t > 0), default=float(block * BLOCKS))
+    return min(block, max(1, math.ceil(sum(targets) / MOST_SLOTS), int(least / BLOCKS)))
+
+
 def thresholds(targets: list[float]) -> np.ndarray:
     """Upper ends of the sources' shares of [0, 2^32); the last one is 2^32."""
     total, run, out = sum(targets), 0.0, []
@@ -108,6 +118,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = [r["words"] for r in found]
     targets = fill_targets(sizes, [float(weights[i % len(weights)]) for i in range(len(found))], cap) if found else []
     total = sum(sizes)
+    block = fitting(targets, block)
     slots = -(-total // block)
     n_chunks, ends = -(-slots // CHUNK_SLOTS), thresholds(targets)
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -179,6 +180,17 @@ def test_mixing(spark):
     assert mixing.taken(mixing.mix(docs(spark, []))).count() == 0
 
 
+def test_mixing_small_sources(spark):
+    rows = [(i, prose(i, 60), "big" if i % 2 else "main") for i in range(400)] + [(1000 + i, prose(i, 20 + i), f"tail{i:02}") for i in range(20)]
+    m = mixing.mix(docs(spark, rows))
+    got = {}
+    for t in mixing.taken(m).collect():
+        got[t.source_size, t.target] = got.get((t.source_size, t.target), 0) + t.taken
+    for s in m.sources:
+        assert abs(got[s.size, s.target] - s.target) <= max(16, 0.1 * s.target), s
+    assert mixing.fitting([5e9, 10.0], 256) == math.ceil((5e9 + 10) / mixing.MOST_SLOTS) and mixing.fitting([1e6, 2000.0], 256) == mixing.fitting([], 256) == 256
+
+
 PAGE = "<html><head><title>t</title><script>var a='</p>'</script></head><body><nav><a>Home</a></nav><div class='ad'>buy</div><article><h1>Title &amp; more</h1><p><b>One  two<br><p>three&nbsp;four</p>%s</article><footer>foot</footer></body></html>"
 
 
