@@ -1,26 +1,39 @@
 """HTML extraction by wrapper induction.
 
-The DOM tree of each page is aligned with that of its host's reference page (the least page_id) by simple tree matching.
-Matched nodes with equal text are template; nodes that vary are slots. A page's region is its article or main element if
-that holds nearly all varying text outside menus, adverts and the like, else the lowest container that holds all of it. A
-host's region is the one of most of its pages, and every page of the host gives the text of its nodes on that path, unless
-it holds varying text elsewhere: then its own region counts. Hosts of one page are judged by their own text alone.
+The DOM tree of each page is aligned with those of up to ``REFERENCES`` other pages of its host by simple tree matching. A
+text of a reference that stands unchanged on nearly all pages aligned with its node is template; everything else is a slot.
+The main text of a page is what its slots hold: template goes wherever it stands, menus, adverts, comments and the like go
+by their tag or role although they vary, and a single article or main element with nearly all of the rest stands for all of
+it. A page of a host that has no other page has no template; it is judged by tags and roles alone.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import zlib
+from collections import Counter
 from collections.abc import Collection
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import written
 from tessera.llm.url_filter import host_and_path
 
+#: Pages of a host that the others are aligned with.
+REFERENCES = 3
+#: What one distinct page counts for; its exact copies share it.
+VOTE = 1 << 30
+#: A text is template if it is the same on this share of the pages aligned with its node.
+CONSTANT = 0.9
+#: Sibling tables of more cells are aligned in linear space.
+TABLE_CELLS = 1 << 20
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _CLASS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -28,14 +41,15 @@ _BLANKS = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template xmp".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-CONTAINER = frozenset("article body div main section table tbody td tr center html".split())
 #: Elements that are never article text.
-NEVER = frozenset("head nav footer aside form script style noscript template button select option iframe svg canvas dialog menu textarea object audio video map title".split())
+NEVER = frozenset("head nav footer aside script style noscript template button select option iframe svg canvas dialog menu textarea object audio video map title".split())
 #: Words in class, id or role that mark what is not article text.
 ROLES = frozenset("ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar side aside widget comment comments commentlist disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs menu menubar nav navbar navigation toolbar pagination pager footer newsletter subscribe signup login search complementary contentinfo skip".split())
 _OUTSIDE = frozenset(["header", "masthead", "banner"])
 #: Words that may stand beside those in one class, id or role: they say only where or in what form. ``has-sidebar`` has another.
 _PLACE = frozenset("area bar block body bottom box button buttons center column container div feed form global inner item items left link links list outer panel posts primary right row secondary section site slot text top unit wrap wrapper x".split())
+#: Barred unless it wraps the article, as one element around a whole page may.
+_FORM = "form"
 #: Never barred by class, id or role.
 _NEVER_BY_ROLE = frozenset(["html", "body", "main"])
 #: Share of a text that is nearly all of it.
@@ -45,15 +59,28 @@ _SCOPE = frozenset("table ul ol dl select article section div body html".split()
 
 
 class Page:
-    """A DOM tree in page order. Node 0 is the root; ``events`` are (node, text or None for a break)."""
+    """A DOM tree in page order. Node 0 is the root; ``events`` are (node, text or None for a break).
+
+    ``at`` names the place of a node: a hash of the tags from the root down to it. Nothing here recurses, so a page may be
+    nested as deeply as it likes.
+    """
 
-    __slots__ = ("events", "kids", "out", "parent", "tag", "text")
+    __slots__ = ("at", "events", "kids", "out", "parent", "tag", "text")
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.kids, self.out, self.text = ["#"], [-1], [[]], [False], [0]
+        self.tag, self.parent, self.kids, self.out, self.text, self.at = ["#"], [-1], [[]], [False], [0], [1]
         self.events: list[tuple[int, str | None]] = []
         stack, at, find, inside = [0], 0, _TOKEN.search, 0
-        roles: dict[int, bool] = {}
+        opened: Counter[str] = Counter()
+        roles: dict[int, str] = {}
+
+        def shut(k: int) -> None:
+            nonlocal inside
+            for node in stack[k:]:
+                opened[self.tag[node]] -= 1
+                inside -= self.tag[node] in ("article", "main")
+            del stack[k:]
+
         while m := find(source, at):
             if m.start() > at:
                 self._say(stack[-1], source[at : m.start()])
@@ -67,23 +94,27 @@ class Page:
             if m[1]:
                 if name in BLOCK:
                     self.events.append((stack[-1], None))
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        del stack[k:]
-                        break
-                inside = sum(self.tag[n] in ("article", "main") for n in stack)
+                if opened[name]:
+                    k = len(stack) - 1
+                    while self.tag[stack[k]] != name:
+                        k -= 1
+                    shut(k)
                 continue
             if name in BLOCK:
-                self._close(stack, name)
+                self._close(stack, name, shut)
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1])
+            self.at.append(_place(self.at[stack[-1]], name))
             self.kids.append([])
             self.kids[stack[-1]].append(node)
             self.text.append(0)
             self.out.append(self.out[stack[-1]] or name in NEVER or name == "header" and not inside or bool(m[3]) and bool(_HIDDEN.search(m[3])))
-            if m[3] and name not in _NEVER_BY_ROLE and not self.out[node] and (role := _role(m[3], bool(inside))):
-                roles[node] = role == "compound" or name == "article"
+            if not self.out[node]:
+                if name == _FORM:
+                    roles[node] = _FORM
+                elif m[3] and name not in _NEVER_BY_ROLE and (role := _role(m[3], bool(inside))):
+                    roles[node] = "weak" if role == "compound" or name == "article" else "whole"
             if name == "br":
                 self.events.append((node, " "))
             elif name in BLOCK:
@@ -95,33 +126,35 @@ class Page:
                 at = end.end() if end else len(source)
             elif name not in VOID and not m[3].endswith("/"):
                 stack.append(node)
+                opened[name] += 1
                 inside += name in ("article", "main")
         if at < len(source):
             self._say(stack[-1], source[at:])
         if roles:
             self._bar(roles)
 
-    def _bar(self, roles: dict[int, bool]) -> None:
-        """Bar the elements with a role and all below. One with most of the page's text is a wrapper and stays, if its role
-        is weak (True), it holds an article, main or h1, or it has nearly all text."""
+    def _bar(self, roles: dict[int, str]) -> None:
+        """Bar the elements with a role and all below. One with most of the page's text is a wrapper and stays, if it holds
+        an article, main or h1, its role is weak, or it is no form and has nearly all text."""
         n = len(self.tag)
         mass = [0 if self.out[k] else self.text[k] for k in range(n)]
-        marks = [self.tag[k] in ("article", "main", "h1") and not self.out[k] and k not in roles for k in range(n)]
+        marks = [self.tag[k] in ("article", "main", "h1") and not self.out[k] and roles.get(k, _FORM) == _FORM for k in range(n)]
         for k in range(n - 1, 0, -1):
             mass[self.parent[k]] += mass[k]
-            if marks[k] and k not in roles:
+            if marks[k] and roles.get(k, _FORM) == _FORM:
                 marks[self.parent[k]] = True
         for k in range(1, n):
-            wraps = k in roles and 2 * mass[k] > mass[0] and (roles[k] or marks[k] or mass[k] >= NEARLY_ALL * mass[0])
-            self.out[k] = self.out[k] or self.out[self.parent[k]] or k in roles and not wraps
+            role = roles.get(k)
+            wraps = role and 2 * mass[k] > mass[0] and (marks[k] or role == "weak" or role != _FORM and mass[k] >= NEARLY_ALL * mass[0])
+            self.out[k] = self.out[k] or self.out[self.parent[k]] or bool(role) and not wraps
 
-    def _close(self, stack: list[int], name: str) -> None:
-        shut = _CLOSES.get(name, ())
+    def _close(self, stack: list[int], name: str, shut) -> None:
+        ends = _CLOSES.get(name, ())
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[k]]
-            if tag == "p" or tag in shut:
+            if tag == "p" or tag in ends:
                 self.events.append((stack[k], None))
-                del stack[k:]
+                shut(k)
             elif tag in _SCOPE:
                 break
 
@@ -129,45 +162,56 @@ class Page:
         self.events.append((node, raw))
         self.text[node] += len(raw.strip())
 
-    def path(self, node: int) -> str:
-        names = []
-        while node > 0:
-            names.append(self.tag[node])
-            node = self.parent[node]
-        return "/".join(reversed(names))
-
-    def main_text(self, regions: list[int] | None) -> str:
-        """Text of the regions (all of the page if None), a line for each block."""
-        inside = [regions is None] * len(self.tag)
-        for node in regions or ():
-            inside[node] = True
-        for node in range(1, len(self.tag)):
-            inside[node] = inside[node] or inside[self.parent[node]]
+    def texts(self) -> dict[int, int]:
+        """Key of each node that is not barred and has text of its own: its place and that text."""
+        said: dict[int, list[str]] = {}
+        for node, text in self.events:
+            if text and self.text[node] and not self.out[node]:
+                said.setdefault(node, []).append(text)
+        return {n: xxhash.xxh64_intdigest(" ".join("".join(t).split()), self.at[n]) >> 1 for n, t in said.items()}
+
+    def main_text(self, inside: list[bool] | None, template: Collection[int] = ()) -> str:
+        """Text of the nodes ``inside`` (of all if None) but ``template``, a line for each block."""
         blocks, now = [], []
         for node, said in self.events:
             if said is None:
                 if now:
                     blocks.append("".join(now))
                     now = []
-            elif inside[node] and not self.out[node]:
+            elif (inside is None or inside[node]) and not self.out[node] and node not in template:
                 now.append(said)
         blocks.append("".join(now))
         lines = (_BLANKS.sub(" ", entities.unescape(b)).strip() for b in blocks)
         return "\n".join(line for line in lines if line)
 
-    def skeleton(self) -> tuple[list[str], list[int], list[int], list[int], list[bool]]:
-        """Tags, parents, own text lengths, own text hashes and bars of all nodes, without the texts."""
-        said: dict[int, list[str]] = {}
-        for node, text in self.events:
-            if text and not self.out[node]:
-                said.setdefault(node, []).append(text)
-        return self.tag, self.parent, self.text, [hash_of("".join(said[n])) if n in said else 0 for n in range(len(self.tag))], self.out
+    def region(self, template: Collection[int] = ()) -> list[bool] | None:
+        """The nodes under the outermost article, or main, of the place that has nearly all text outside ``template``; None
+        for the whole page."""
+        n = len(self.tag)
+        mass = [0 if self.out[k] or k in template else self.text[k] for k in range(n)]
+        for k in range(n - 1, 0, -1):
+            mass[self.parent[k]] += mass[k]
+        for want in ("article", "main"):
+            held: dict[int, int] = {}
+            for k in range(1, n):
+                if self.tag[k] == want and not self.out[k]:
+                    held[self.at[k]] = held.get(self.at[k], 0) + mass[k]
+            best = next((place for place, m in held.items() if m and m >= NEARLY_ALL * mass[0]), None)  # in page order
+            if best is not None:
+                inside = [False] * n
+                for k in range(1, n):
+                    inside[k] = inside[self.parent[k]] or self.at[k] == best and not self.out[k]
+                return inside
+        return None
 
 
-def hash_of(text: str) -> int:
-    import xxhash
+@lru_cache(4096)
+def _tag_number(tag: str) -> int:
+    return zlib.crc32(tag.encode())
 
-    return xxhash.xxh64_intdigest(text) >> 1
+
+def _place(above: int, tag: str) -> int:
+    return (above * 0x9E3779B97F4A7C15 + _tag_number(tag) + 1) & 0xFFFFFFFFFFFFFFFF
 
 
 @lru_cache(10_000)
@@ -185,190 +229,265 @@ def _role(attributes: str, inside: bool) -> str:
     return found
 
 
+class Matcher:
+    """Simple tree matching: a largest match of two trees that keeps order and goes from the roots down.
+
+    Subtrees of equal shape are one ``kind``, so a pair of kinds is weighed once however often it occurs. Equal kinds at
+    both ends of two sibling lists belong to a largest match and are taken off first; what stays in the middle is aligned
+    by the usual table, row by row, and in linear space if the table would be large.
+    """
+
+    def __init__(self) -> None:
+        self.kinds: dict[tuple, int] = {}
+        self.tag: list[str] = []
+        self.below: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self.weight: dict[tuple[int, int], int] = {}
+
+    def shape(self, tags: list[str], kids: list[list[int]]) -> list[int]:
+        """The kind of each node."""
+        out = [0] * len(tags)
+        for n in range(len(tags) - 1, -1, -1):
+            key = (tags[n], *[out[k] for k in kids[n]])
+            kind = self.kinds.get(key)
+            if kind is None:
+                kind = self.kinds[key] = len(self.tag)
+                self.tag.append(tags[n])
+                self.below.append(key[1:])
+                self.size.append(1 + sum(self.size[k] for k in key[1:]))
+            out[n] = kind
+        return out
+
+    def _known(self, a: int, b: int) -> int | None:
+        if a == b:
+            return self.size[a]
+        return self.weight.get((a, b)) if self.tag[a] == self.tag[b] else 0
+
+    def _weigh(self, a: int, b: int) -> None:
+        """Fill in the size of the largest match of two kinds and of all that it needs."""
+        todo = [(a, b)]
+        while todo:
+            a, b = todo[-1]
+            if self._known(a, b) is not None:
+                todo.pop()
+                continue
+            ka, kb = self.below[a], self.below[b]
+            head, tail = _ends(ka, kb)
+            ka_, kb_ = ka[head : len(ka) - tail], kb[head : len(kb) - tail]
+            missing = [(x, y) for x in set(ka_) for y in set(kb_) if self._known(x, y) is None]
+            if missing:
+                todo += missing
+                continue
+            ends = sum(self.size[k] for k in (*ka[:head], *ka[len(ka) - tail :]))
+            self.weight[a, b] = 1 + ends + (int(self._last_row(ka_, kb_)[-1]) if ka_ and kb_ else 0)
+            todo.pop()
+
+    def _table(self, ka, kb) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights of distinct kinds, and which of them each sibling is."""
+        ua, ia = np.unique(ka, return_inverse=True)
+        ub, ib = np.unique(kb, return_inverse=True)
+        return np.array([[self._known(int(x), int(y)) for y in ub] for x in ua], np.int64), ia, ib
+
+    def _last_row(self, ka, kb) -> np.ndarray:
+        if len(ka) * len(kb) <= 256:
+            row = [0] * (len(kb) + 1)
+            for x in ka:
+                new = [0]
+                for j, y in enumerate(kb):
+                    new.append(max(row[j + 1], new[j], row[j] + self._known(x, y)))
+                row = new
+            return np.array(row)
+        return _rows(*self._table(ka, kb))
+
+    def pairs(self, kinds_a: list[int], kids_a: list[list[int]], kinds_b: list[int], kids_b: list[list[int]]) -> list[tuple[int, int]]:
+        """The pairs of nodes in a largest match."""
+        out, todo = [], [(0, 0)]
+        while todo:
+            a, b = todo.pop()
+            x, y = kinds_a[a], kinds_b[b]
+            if x == y:  # nodes stand in page order, so a subtree is a range
+                out += zip(range(a, a + self.size[x]), range(b, b + self.size[y]), strict=True)
+                continue
+            if self.tag[x] != self.tag[y]:
+                continue
+            out.append((a, b))
+            ka, kb = kids_a[a], kids_b[b]
+            xa, xb = self.below[x], self.below[y]
+            head, tail = _ends(xa, xb)
+            todo += zip(ka[:head], kb[:head], strict=True)
+            todo += zip(ka[len(ka) - tail :], kb[len(kb) - tail :], strict=True)
+            ka, kb, xa, xb = ka[head : len(ka) - tail], kb[head : len(kb) - tail], xa[head : len(xa) - tail], xb[head : len(xb) - tail]
+            if ka and kb:
+                for p in set(xa):
+                    for q in set(xb):
+                        self._weigh(p, q)
+                todo += ((ka[i], kb[j]) for i, j in _path(*self._table(xa, xb)))
+        return out
+
+
 def match(tags_a: list[str], kids_a: list[list[int]], tags_b: list[str], kids_b: list[list[int]]) -> list[tuple[int, int]]:
-    """Simple tree matching: pairs of nodes in a largest order-preserving match from the roots down."""
-    size: dict[tuple[int, int], int] = {}
-
-    def weigh(a: int, b: int) -> int:
-        if tags_a[a] != tags_b[b]:
-            return 0
-        if (a, b) not in size:
-            size[a, b] = 1 + _table(a, b)[-1][-1]
-        return size[a, b]
-
-    def flat(ka: list[int], kb: list[int]) -> bool:
-        return len({tags_a[x] for x in ka} | {tags_b[y] for y in kb}) == 1 and not any(kids_a[x] for x in ka) and not any(kids_b[y] for y in kb)
-
-    def _table(a: int, b: int) -> list[list[int]]:
-        ka, kb = kids_a[a], kids_b[b]
-        if not ka or not kb or flat(ka, kb):
-            return [[min(len(ka), len(kb))]]
-        m = [[0] * (len(kb) + 1)]
-        for x in ka:
-            up, row = m[-1], [0]
-            for j, y in enumerate(kb):
-                row.append(max(up[j + 1], row[j], up[j] + weigh(x, y)))
-            m.append(row)
-        return m
-
-    pairs, todo = [], [(0, 0)]
+    """Simple tree matching of two trees at hand."""
+    own = Matcher()
+    return own.pairs(own.shape(tags_a, kids_a), kids_a, own.shape(tags_b, kids_b), kids_b)
+
+
+def _ends(ka: tuple[int, ...], kb: tuple[int, ...]) -> tuple[int, int]:
+    """How many kinds are equal at the beginnings, and at the ends of what is left."""
+    short = min(len(ka), len(kb))
+    head = next((i for i in range(short) if ka[i] != kb[i]), short)
+    tail = next((i for i in range(short - head) if ka[-1 - i] != kb[-1 - i]), short - head)
+    return head, tail
+
+
+def _rows(weights: np.ndarray, ia: np.ndarray, ib: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """The last row of the alignment table; all of them go to ``keep``."""
+    row = np.zeros(len(ib) + 1, np.int64)
+    wide = weights[:, ib]
+    for i in ia:
+        new = row.copy()
+        np.maximum(row[1:], row[:-1] + wide[i], out=new[1:])
+        row = np.maximum.accumulate(new)
+        if keep is not None:
+            keep.append(row)
+    return row
+
+
+def _path(weights: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (i, j) of a best alignment; halves of a large table are settled one after the other."""
+    out, todo = [], [(0, len(ia), 0, len(ib))]
     while todo:
-        a, b = todo.pop()
-        if tags_a[a] != tags_b[b]:
-            continue
-        pairs.append((a, b))
-        ka, kb = kids_a[a], kids_b[b]
-        if not ka or not kb:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
             continue
-        if flat(ka, kb):
-            pairs += zip(ka, kb, strict=False)
+        if (b - a) * (d - c) <= TABLE_CELLS or b - a == 1:
+            rows = [np.zeros(d - c + 1, np.int64)]
+            _rows(weights, ia[a:b], ib[c:d], rows)
+            i, j = b - a, d - c
+            while i and j:
+                if rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                elif rows[i][j] == rows[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((a + i, c + j))
             continue
-        m = _table(a, b)
-        i, j = len(ka), len(kb)
-        while i and j:
-            if m[i][j] == m[i - 1][j]:
-                i -= 1
-            elif m[i][j] == m[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((ka[i], kb[j]))
-    return pairs
-
-
-def _kids(parents: list[int]) -> list[list[int]]:
-    kids: list[list[int]] = [[] for _ in parents]
-    for node in range(1, len(parents)):
-        kids[parents[node]].append(node)
-    return kids
-
-
-def region_masses(skeleton: tuple, constant: set[int]) -> dict[str, int]:
-    """Text outside ``constant`` nodes and barred elements, summed up the tree, by container path."""
-    tags, parents, lengths, hashes, out = skeleton
-    mass = [0 if out[n] or n in constant else lengths[n] for n in range(len(tags))]
-    for n in range(len(tags) - 1, 0, -1):
-        mass[parents[n]] += mass[n]
-    paths, found = [""], {"": mass[0]} if mass[0] else {}
-    for n in range(1, len(tags)):
-        paths.append(f"{paths[parents[n]]}/{tags[n]}" if parents[n] else tags[n])
-        if tags[n] in CONTAINER and not out[n] and mass[n]:
-            found[paths[n]] = found.get(paths[n], 0) + mass[n]
-    return found
-
-
-def best_region(masses: dict[str, int]) -> str | None:
-    """The article or main element with nearly all mass, else the deepest path with all of it; empty is the whole page."""
-    if not masses:
-        return None
-    most = max(masses.values())
-    for share in (NEARLY_ALL, 1):
-        best = max((p for p, m in masses.items() if m >= share * most), key=lambda p: (p.count("/") + (p != ""), masses[p], p))
-        steps = best.split("/")
-        for k in range(len(steps)):
-            if steps[k] in ("article", "main") and (steps[k] == "article" or "article" not in steps[k:]):
-                return "/".join(steps[: k + 1])
-    return best
-
-
-def extract(source: str, region: str | None, template: Collection[int] = ()) -> str:
-    """Main text of one page: of the region's nodes if they hold all text outside ``template``, else of its own best region."""
+        half = (a + b) // 2
+        above = _rows(weights, ia[a:half], ib[c:d])
+        under = _rows(weights, ia[half:b][::-1], ib[c:d][::-1])[::-1]
+        cut = c + int(np.argmax(above + under))
+        todo += [(a, half, c, cut), (half, b, cut, d)]
+    return out
+
+
+class _Aligner:
+    """The references of one host, parsed once."""
+
+    def __init__(self, sources: list[str]) -> None:
+        self.matcher = Matcher()
+        self.refs = []
+        for source in dict.fromkeys(sources):
+            page = Page(source)
+            self.refs.append((source, page.texts(), page.kids, self.matcher.shape(page.tag, page.kids)))
+
+    def votes(self, source: str) -> list[tuple[int, bool]]:
+        """(key, equal) of each text of each other reference that a node of this page is aligned with."""
+        page = Page(source)
+        if len(self.matcher.weight) + len(self.matcher.tag) > 200_000:
+            self.__init__([s for s, *_ in self.refs])
+        own, shape, out = page.texts(), self.matcher.shape(page.tag, page.kids), []
+        for ref, texts, kids, kinds in self.refs:
+            if ref != source:
+                out += [(texts[y], own.get(x) == texts[y]) for x, y in self.matcher.pairs(shape, page.kids, kinds, kids) if y in texts]
+        return out
+
+
+def extract(source: str, template: Collection[int] = (), pair: Collection[int] = ()) -> str:
+    """Main text of one page.
+
+    ``template`` holds the keys of template texts. Those in ``pair`` are shared by the only two pages of a host; they count
+    if they are less than half of the page, else the two are copies of each other. A page that holds nothing but template
+    is judged by itself.
+    """
     page = Page(source)
-    skeleton = page.skeleton()
-    own = best_region(region_masses(skeleton, {n for n, h in enumerate(skeleton[3]) if h in template} if template else set()))
-    if region is not None and (own is None or region in ("", own) or own.startswith(f"{region}/")):
-        at = _nodes(page, region)
-        if at is None or any(page.text[n] for n in _under(page, at)):
-            return page.main_text(at)
-    if own is None and template:
-        own = best_region(region_masses(skeleton, set()))
-    return page.main_text(_nodes(page, own) if own else None)
-
-
-def _nodes(page: Page, path: str) -> list[int] | None:
-    """The nodes of a path that are not barred; None for the whole page."""
-    paths = [""]
-    for n in range(1, len(page.tag)):
-        paths.append(f"{paths[page.parent[n]]}/{page.tag[n]}" if page.parent[n] else page.tag[n])
-    return [n for n in range(1, len(page.tag)) if paths[n] == path and not page.out[n]] if path else None
-
-
-def _under(page: Page, roots: list[int]) -> list[int]:
-    held = set(roots)
-    for n in range(1, len(page.tag)):
-        if page.parent[n] in held:
-            held.add(n)
-    return [n for n in held if not page.out[n]]
-
-
-def induce(pages: DataFrame, host: Column, id_col: str, html_col: str) -> DataFrame:
-    """(host, region, template) of each host that has two pages or more.
-
-    ``template`` has the hashes of the reference's texts that stand at the same place on more than half of the pages.
+    constant: set[int] = set()
+    if template or pair:
+        texts = page.texts()
+        constant = {n for n, key in texts.items() if key in template}
+        if pair:
+            shared = {n for n, key in texts.items() if key in pair}
+            if 2 * sum(page.text[n] for n in shared) < sum(page.text[n] for n in texts):
+                constant |= shared
+        if len(constant) == len(texts):
+            constant = set()
+    return page.main_text(page.region(constant), constant)
+
+
+def induce(pages: DataFrame, host: Column, html_col: str) -> DataFrame:
+    """(host, template, pair) of each host that has two different pages or more; see ``extract``.
+
+    Each page is aligned with the references of its host that it does not equal, and votes on each of their texts. Copies
+    of a page share one vote. Votes are counted before they are shuffled.
     """
-    rows = pages.select(host.alias("host"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
-
-    def skeletons(batches):
-        for b in batches:
-            out = []
-            for text in b.column(2).to_pylist():
-                tags, parents, lengths, hashes, bars = Page(text).skeleton()
-                out.append({"t": tags, "p": parents, "n": lengths, "h": hashes, "o": bars})
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, TREE)], ["host", "id", "tree"])
-
-    trees = rows.mapInArrow(skeletons, f"host string, id long, tree {TREE_SQL}")
-    first = trees.groupBy("host").agg(F.min_by("tree", F.struct("id", "tree")).alias("ref"), F.count("*").alias("n")).where("n > 1").select("host", "ref")
-    first, _ = written(first, "references")  # read again, the join has plain exchanges, and Spark can split a hot host
+    rows = pages.select(host.alias("host"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html")).where("host <> ''").withColumn("h", F.xxhash64("html"))
+    copies = rows.groupBy("host", "h").agg(F.count("*").alias("n")).where("n > 1")
+    refs = rows.groupBy("host", F.pmod("h", F.lit(REFERENCES)).alias("part")).agg(F.min_by("html", "h").alias("html"))
+    refs = refs.groupBy("host").agg(F.array_sort(F.collect_list("html")).alias("refs"))  # at most REFERENCES texts
+    refs, _ = written(refs, "references")  # read again, the join has plain exchanges, and Spark can split a hot host
+    voters = rows.join(copies, ["host", "h"], "left").join(refs, "host").select("host", "html", "refs", F.greatest(F.lit(1), F.lit(VOTE) / F.coalesce("n", F.lit(1))).cast("long").alias("vote"))
 
     def align(batches):
-        kept: dict[str, tuple] = {}
+        kept: dict[str, _Aligner] = {}
         for b in batches:
-            sums: dict[tuple[str, str | None, int | None], int] = {}
-            for host, tree, ref in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if host not in kept:
-                    kept.clear()
-                    kept[host] = (ref, _kids(ref["p"]))
-                ref, kids = kept[host]
-                pairs = match(tree["t"], _kids(tree["p"]), ref["t"], kids)
-                same = {a for a, r in pairs if tree["h"][a] == ref["h"][r]}
-                own = best_region(region_masses((tree["t"], tree["p"], tree["n"], tree["h"], tree["o"]), same))
-                facts = [(host, None, None), *((host, None, h) for h in {tree["h"][a] for a in same} if h)]
-                for key in facts if own is None else [*facts, (host, own, None)]:
-                    sums[key] = sums.get(key, 0) + 1
-            columns = [pa.array([k[i] for k in sums], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(sums.values()), pa.int64())], ["host", "path", "hash", "n"])
-
-    # a row for each page, its region and each text it shares with the reference; counted before any of them are listed
-    facts = trees.join(first, "host").select("host", "tree", "ref").mapInArrow(align, "host string, path string, hash long, n long")
-    facts = facts.groupBy("host", "path", "hash").agg(F.sum("n").alias("n"))
-    vote = F.max(F.when(F.col("path").isNotNull(), F.struct("n", F.size(F.split("path", "/")).alias("d"), "path")))
-    pages_n = F.max(F.when(F.col("path").isNull() & F.col("hash").isNull(), F.col("n")))
-    shared = F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("n", "hash")))
-    best = facts.groupBy("host").agg(vote.alias("m"), pages_n.alias("pages"), shared.alias("shared"))
-    template = F.expr("transform(filter(shared, s -> s.n * 2 > pages), s -> s.hash)")
-    return written(best.select("host", F.col("m.path").alias("region"), template.alias("template")), "wrappers")[0]
-
-
-TREE = pa.struct([("t", pa.list_(pa.string())), ("p", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("h", pa.list_(pa.int64())), ("o", pa.list_(pa.bool_()))])
-TREE_SQL = "struct<t:array<string>,p:array<int>,n:array<int>,h:array<bigint>,o:array<boolean>>"
+            aligned: Counter[tuple[str, int]] = Counter()
+            equal: Counter[tuple[str, int]] = Counter()
+            hosts, votes = b.column(0).to_pylist(), b.column(3).to_pylist()
+            for k, name in enumerate(hosts):
+                if name not in kept:
+                    if len(kept) >= 32:
+                        kept.clear()
+                    kept[name] = _Aligner(b.column(2)[k].as_py())
+                for key, same in kept[name].votes(b.column(1)[k].as_py()):
+                    aligned[name, key] += votes[k]
+                    if same:
+                        equal[name, key] += votes[k]
+            keys = list(aligned)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([aligned[k] for k in keys], pa.int64()), pa.array([equal[k] for k in keys], pa.int64())], ["host", "key", "aligned", "equal"])
+
+    facts = voters.mapInArrow(align, "host string, key long, aligned long, equal long")
+    facts = facts.groupBy("host", "key").agg(F.sum("aligned").alias("aligned"), F.sum("equal").alias("equal")).where(f"equal > 0 and equal >= {CONSTANT} * aligned")
+    two = F.col("equal") < F.lit(VOTE * 3 // 2)  # one other page only
+    best = facts.groupBy("host").agg(F.collect_list(F.when(~two, F.col("key"))).alias("template"), F.collect_list(F.when(two, F.col("key"))).alias("pair"))
+    return written(best, "wrappers")[0]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of each row: the main text, one line for each block.
 
-    Null and empty html gives an empty text. Pages with a null url, or of a host alone, are judged by themselves.
-    Repeated pages are all kept. A host may hold any share of all pages: reference trees are found by a pre-aggregated
-    minimum, and the joins by host only ever meet one small row a host, so Spark can split their large side.
+    Null and empty html gives an empty text. Pages with a null url, or of a host alone, are judged by themselves; so is a
+    page that holds nothing but template. Repeated pages are all kept, get equal texts, and vote on the template as one
+    page. Ties between references go to the smaller hash. Pages may be of any length and depth: a page is held whole by one
+    task, aligned in time that grows with the number of differing subtree shapes, and in memory linear in its siblings.
+    Other columns of ``pages`` are ignored, whatever their names; an empty table gives an empty result. A host may hold any
+    share of all pages: references are found by a pre-aggregated minimum, and the joins by host only ever meet one row a
+    host, so Spark can split their large side.
     """
     host, _ = host_and_path(F.col(f"`{url_col}`"))
-    wrapper = induce(pages, host, id_col, html_col)
+    wrapper = induce(pages, host, html_col)
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"), host.alias("host"))
-    rows = rows.join(wrapper, "host", "left").select("page_id", "url", "html", "region", "template")
+    rows = rows.join(wrapper, "host", "left").select("page_id", "url", "html", "template", "pair", "host")
 
     def run(batches):
+        kept: dict[str, tuple[frozenset, frozenset]] = {}
         for b in batches:
-            texts = [extract(h or "", r, frozenset(t or ())) for h, r, t in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            texts = []
+            for k, name in enumerate(b.column(5).to_pylist()):
+                if name not in kept:
+                    if len(kept) >= 1000:
+                        kept.clear()
+                    kept[name] = (frozenset(b.column(3)[k].as_py() or ()), frozenset(b.column(4)[k].as_py() or ()))
+                texts.append(extract(b.column(2)[k].as_py() or "", *kept[name]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return rows.mapInArrow(run, f"page_id {kind}, url string, text string")

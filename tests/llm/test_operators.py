@@ -194,23 +194,68 @@ def test_mixing_small_sources(spark):
 PAGE = "<html><head><title>t</title><script>var a='</p>'</script></head><body><nav><a>Home</a></nav><div class='ad'>buy</div><article><h1>Title &amp; more</h1><p><b>One  two<br><p>three&nbsp;four</p>%s</article><footer>foot</footer></body></html>"
 
 
+def html_texts(spark, rows):
+    made = html_wrapper.main_text(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")).collect()
+    assert sorted(r.page_id for r in made) == sorted(r[0] for r in rows)
+    return {r.page_id: r.text for r in made}
+
+
 def test_html(spark):
-    rows = [(i, f"http://h{i % 2}.com/{i}", PAGE % f"<p>body {i}</p><div class='comments'>me too</div>") for i in range(6)]
+    rows = [(i, f"http://h{i}.com/{i}", PAGE % f"<p>body {i}</p><div class='comments'>me too</div>") for i in range(6)]
     rows += [(10, None, PAGE % "<p>x</p>"), (11, "http://h0.com/n", None), (12, "http://h0.com/e", ""), (13, "http://solo.org/", "<p>just text<p>more"), (0, rows[0][1], rows[0][2])]
-    got = html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    texts = {r.page_id: r.text for r in got}
-    assert len(got) == len(rows) and texts[3] == "Title & more\nOne two\nthree four\nbody 3"
+    texts = html_texts(spark, rows)
+    assert texts[3] == "Title & more\nOne two\nthree four\nbody 3"
     assert texts[10].endswith("x") and texts[11] == texts[12] == "" and texts[13] == "just text\nmore"
+    assert html_texts(spark, []) == {}
+
+
+def test_html_template_goes(spark):
+    """Nothing but the alignment tells these texts apart: no tag or class says what they are."""
+    page = "<html><body><div><p>Great Site</p><p>of ours</p></div><div><h1>Title %d</h1><p>%s</p><p>Read more on our other pages</p></div><div><p>Made by us</p></div></body></html>"
+    rows = [(i, f"http://many.com/{i}", page % (i, prose(i, 20))) for i in range(5)]
+    rows += [(5, "http://many.com/copy", rows[0][2]), (5, "http://many.com/copy", rows[0][2])]
+    rows += [(i, f"http://two.com/{i}", page % (i, prose(i, 90))) for i in (10, 11)]
+    rows += [(20, "http://alone.com/", page % (20, prose(20, 20)))]
+    texts = html_texts(spark, rows)
+    for i in (0, 1, 2, 3, 4, 10, 11):
+        assert texts[i] == f"Title {i}\n{prose(i, 20 if i < 10 else 90)}"
+    assert texts[5] == texts[0]
+    assert texts[20] == f"Great Site\nof ours\nTitle 20\n{prose(20, 20)}\nRead more on our other pages\nMade by us"
+
+
+def test_html_copies_are_no_template(spark):
+    page = "<html><body><div><h1>%s</h1><p>%s</p><p>%s</p></div></body></html>"
+    same = page % ("Copied", prose(1, 30), prose(2, 30))
+    rows = [(i, f"http://c.com/{i}", same) for i in range(12)]
+    rows += [(20 + i, f"http://n.com/{i}", page % ("Near", prose(3, 60), prose(4, 30) + f" {i}")) for i in range(2)]  # near copies, a host of two
+    texts = html_texts(spark, rows + [(99, "http://c.com/other", page % ("Other", prose(5, 30), prose(6, 30)))])
+    assert {texts[i] for i in range(12)} == {f"Copied\n{prose(1, 30)}\n{prose(2, 30)}"}
+    assert texts[20] == f"Near\n{prose(3, 60)}\n{prose(4, 30)} 0" and texts[99].startswith("Other\n")
+
+
+def test_html_deep_and_wide_pages(spark):
+    rng = random.Random(2)
+    some = ("<p>%s</p>", "<ul><li>%s</li></ul>", "<h2>%s</h2>", "<div><p>%s</p><p>x</p></div>", "<p><b>%s</b></p>")
+    deep = ["<div>" * (3000 + i) + f"deep {i}" + "</div>" * 3000 for i in range(2)]
+    wide = ["<div>" + "".join(rng.choice(some) % rng.random() for _ in range(3000)) + "</div>" for _ in range(2)]
+    texts = html_texts(spark, [(i, f"http://h.com/{i}", h) for i, h in enumerate(deep + wide)])
+    assert texts[0] == "deep 0" and texts[1] == "deep 1" and texts[2].count("\n") >= 2999
+
+
+def test_html_form_around_the_page():
+    said = "<h1>Title</h1><p>" + prose(3, 40) + "</p>"
+    assert html_wrapper.extract(f"<body><form id='aspnetForm'><div>{said}</div><form><label>mail</label></form></form></body>") == "Title\n" + prose(3, 40)
+    assert html_wrapper.extract(f"<body><div>{said}</div><form><label>your name</label> and more</form></body>") == "Title\n" + prose(3, 40)
 
 
 def test_html_compound_classes():
     said = "<h1>Title</h1><p>" + prose(3, 40) + "</p>"
     for page in ("<body class='has-sidebar'>%s</body>", "<div id='page' class='no-sidebar social'>%s</div>", "<article class='post comments-open'>%s</article>", "<main class='search-results'>%s</main>", "<body><div class='sidebar-right'>%s</div><p>end</p></body>", "<body class='search'><div class='widget hasSidebar'>%s</div></body>"):
-        assert prose(3, 40) in html_wrapper.extract(page % said, None), page
+        assert prose(3, 40) in html_wrapper.extract(page % said), page
     for role in ("class='comments'", "class='site-footer'", "id='cookieNotice'", "class='x comment-list'", "role=navigation", "class='ad-300x250'"):
-        assert html_wrapper.extract(f"<body><div {role}>apart</div><div>{said}<div {role}>apart</div></div></body>", None) == "Title\n" + prose(3, 40), role
+        assert html_wrapper.extract(f"<body><div {role}>apart</div><div>{said}<div {role}>apart</div></div></body>") == "Title\n" + prose(3, 40), role
     many = "<article class='comment'>" + prose(4, 30) + "</article>"
-    assert html_wrapper.extract(f"<body><div>{said}</div><div class='comments'>{many * 2}</div></body>", None) == "Title\n" + prose(3, 40)
+    assert html_wrapper.extract(f"<body><div>{said}</div><div class='comments'>{many * 2}</div></body>") == "Title\n" + prose(3, 40)
 
 
 def test_html_whole_region(spark):
@@ -225,9 +270,35 @@ def test_html_whole_region(spark):
         assert got[i] == f"short {i}\nOther {i}\n{prose(i, 30)}"
 
 
-def test_tree_matching():
+def brute_match(a, b, x=0, y=0):
+    if a.tag[x] != b.tag[y]:
+        return 0
+    ka, kb = a.kids[x], b.kids[y]
+    m = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
+    for i, p in enumerate(ka):
+        for j, q in enumerate(kb):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + brute_match(a, b, p, q))
+    return 1 + m[-1][-1]
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 4])
+def test_tree_matching(monkeypatch, cells):
+    monkeypatch.setattr(html_wrapper, "TABLE_CELLS", cells)
     a, b = html_wrapper.Page("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"), html_wrapper.Page("<div><p>1</p><p>2</p></div>")
     assert len(html_wrapper.match(a.tag, a.kids, b.tag, b.kids)) == 4
+    rng = random.Random(4)
+
+    def tree(depth):
+        if not depth or rng.random() < 0.2:
+            return rng.choice(("<i>t</i>", "<b>t</b>"))
+        return rng.choice(("<div>%s</div>", "<span>%s</span>")) % "".join(tree(depth - 1) for _ in range(rng.randrange(4)))
+
+    for _ in range(200):
+        a, b = (html_wrapper.Page("<div>" + tree(3) + tree(3) + tree(2) + "</div>") for _ in range(2))
+        got = html_wrapper.match(a.tag, a.kids, b.tag, b.kids)
+        pair = dict(got)
+        assert len(got) == brute_match(a, b) == len(pair) == len(set(pair.values()))
+        assert all(x == 0 or pair[a.parent[x]] == b.parent[y] for x, y in got)
 
 
 def test_decontaminate(spark):
