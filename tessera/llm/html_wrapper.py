@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import written
+from tessera.llm.text import marked, written
 from tessera.llm.url_filter import host_and_path
 
 #: Pages of a host that the others are aligned with.
@@ -381,27 +381,35 @@ def _path(weights: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> list[tuple[int
 
 
 class _Aligner:
-    """The references of one host, parsed once."""
+    """The references of one host: (hash of the page, tags, parents, keys), keys 0 where there is no text."""
 
-    def __init__(self, sources: list[str]) -> None:
-        self.matcher = Matcher()
-        self.refs = []
-        for source in dict.fromkeys(sources):
-            page = Page(source)
-            self.refs.append((source, page.texts(), page.kids, self.matcher.shape(page.tag, page.kids)))
+    def __init__(self, refs: list[dict]) -> None:
+        self.refs, self.matcher, self.trees = refs, Matcher(), []
+        for r in refs:
+            kids = _kids(r["p"])
+            self.trees.append((r["h"], r["k"], kids, self.matcher.shape(r["t"], kids)))
 
-    def votes(self, source: str) -> list[tuple[int, bool]]:
-        """(key, equal) of each text of each other reference that a node of this page is aligned with."""
-        page = Page(source)
+    def votes(self, source: str, h: int) -> dict[tuple[int, int], bool]:
+        """Whether the text is equal, by reference and key of each text of the other references that this page has a node for."""
         if len(self.matcher.weight) + len(self.matcher.tag) > 200_000:
-            self.__init__([s for s, *_ in self.refs])
-        own, shape, out = page.texts(), self.matcher.shape(page.tag, page.kids), []
-        for ref, texts, kids, kinds in self.refs:
-            if ref != source:
-                out += [(texts[y], own.get(x) == texts[y]) for x, y in self.matcher.pairs(shape, page.kids, kinds, kids) if y in texts]
+            self.__init__(self.refs)
+        page = Page(source)
+        own, shape, out = page.texts(), self.matcher.shape(page.tag, page.kids), {}
+        for other, keys, kids, kinds in self.trees:
+            if other != h:
+                for x, y in self.matcher.pairs(shape, page.kids, kinds, kids):
+                    if keys[y]:
+                        out[other, keys[y]] = out.get((other, keys[y])) or own.get(x) == keys[y]
         return out
 
 
+def _kids(parents: list[int]) -> list[list[int]]:
+    kids: list[list[int]] = [[] for _ in parents]
+    for node in range(1, len(parents)):
+        kids[parents[node]].append(node)
+    return kids
+
+
 def extract(source: str, template: Collection[int] = (), pair: Collection[int] = ()) -> str:
     """Main text of one page.
 
@@ -430,37 +438,58 @@ def induce(pages: DataFrame, host: Column, html_col: str) -> DataFrame:
     of a page share one vote. Votes are counted before they are shuffled.
     """
     rows = pages.select(host.alias("host"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html")).where("host <> ''").withColumn("h", F.xxhash64("html"))
-    copies = rows.groupBy("host", "h").agg(F.count("*").alias("n")).where("n > 1")
-    refs = rows.groupBy("host", F.pmod("h", F.lit(REFERENCES)).alias("part")).agg(F.min_by("html", "h").alias("html"))
-    refs = refs.groupBy("host").agg(F.array_sort(F.collect_list("html")).alias("refs"))  # at most REFERENCES texts
+    copies, _ = written(rows.groupBy("host", "h").agg(F.count("*").alias("n")).where("n > 1"), "page-copies")
+    first = rows.groupBy("host", F.pmod("h", F.lit(REFERENCES)).alias("part")).agg(F.min("h").alias("h"), F.min_by("html", "h").alias("html"))
+
+    def skeletons(batches):
+        for b in batches:
+            trees = []
+            for h, source in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                page = Page(source.as_py())
+                keys = page.texts()
+                trees.append({"h": h, "t": page.tag, "p": page.parent, "k": [keys.get(n, 0) for n in range(len(page.tag))]})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees, TREE)], ["host", "tree"])
+
+    trees = first.select("host", "h", "html").mapInArrow(skeletons, f"host string, tree {TREE_SQL}")
+    refs = trees.groupBy("host").agg(F.array_sort(F.collect_list("tree")).alias("refs"))  # at most REFERENCES trees
     refs, _ = written(refs, "references")  # read again, the join has plain exchanges, and Spark can split a hot host
-    voters = rows.join(copies, ["host", "h"], "left").join(refs, "host").select("host", "html", "refs", F.greatest(F.lit(1), F.lit(VOTE) / F.coalesce("n", F.lit(1))).cast("long").alias("vote"))
+    # only pages that may be copies are joined with the counts
+    flagged = marked(rows, "h", copies.select("h"), "maybe")
+    twins = flagged.where("maybe").join(copies, ["host", "h"], "left").select("host", "h", "html", F.coalesce("n", F.lit(1)).alias("n"))
+    voters = flagged.where("not maybe").select("host", "h", "html", F.lit(1).cast("long").alias("n")).unionByName(twins)
+    voters = voters.join(refs, "host").select("host", "html", "refs", F.greatest(F.lit(1), F.lit(VOTE) / F.col("n")).cast("long").alias("vote"), "h")
 
     def align(batches):
         kept: dict[str, _Aligner] = {}
         for b in batches:
-            aligned: Counter[tuple[str, int]] = Counter()
-            equal: Counter[tuple[str, int]] = Counter()
-            hosts, votes = b.column(0).to_pylist(), b.column(3).to_pylist()
+            aligned: Counter[tuple[str, int, int]] = Counter()
+            equal: Counter[tuple[str, int, int]] = Counter()
+            hosts, votes, hashes = (b.column(k).to_pylist() for k in (0, 3, 4))
             for k, name in enumerate(hosts):
                 if name not in kept:
                     if len(kept) >= 32:
                         kept.clear()
                     kept[name] = _Aligner(b.column(2)[k].as_py())
-                for key, same in kept[name].votes(b.column(1)[k].as_py()):
-                    aligned[name, key] += votes[k]
+                for (ref, key), same in kept[name].votes(b.column(1)[k].as_py(), hashes[k]).items():
+                    aligned[name, ref, key] += votes[k]
                     if same:
-                        equal[name, key] += votes[k]
+                        equal[name, ref, key] += votes[k]
             keys = list(aligned)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([aligned[k] for k in keys], pa.int64()), pa.array([equal[k] for k in keys], pa.int64())], ["host", "key", "aligned", "equal"])
+            columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([of[k] for k in keys], pa.int64()) for of in (aligned, equal))], ["host", "ref", "key", "aligned", "equal"])
 
-    facts = voters.mapInArrow(align, "host string, key long, aligned long, equal long")
-    facts = facts.groupBy("host", "key").agg(F.sum("aligned").alias("aligned"), F.sum("equal").alias("equal")).where(f"equal > 0 and equal >= {CONSTANT} * aligned")
+    facts = voters.mapInArrow(align, "host string, ref long, key long, aligned long, equal long")
+    facts = facts.groupBy("host", "ref", "key").agg(F.sum("aligned").alias("aligned"), F.sum("equal").alias("equal")).where(f"equal > 0 and equal >= {CONSTANT} * aligned")
+    facts = facts.groupBy("host", "key").agg(F.max("equal").alias("equal"))
     two = F.col("equal") < F.lit(VOTE * 3 // 2)  # one other page only
     best = facts.groupBy("host").agg(F.collect_list(F.when(~two, F.col("key"))).alias("template"), F.collect_list(F.when(two, F.col("key"))).alias("pair"))
     return written(best, "wrappers")[0]
 
 
+TREE = pa.struct([("h", pa.int64()), ("t", pa.list_(pa.string())), ("p", pa.list_(pa.int32())), ("k", pa.list_(pa.int64()))])
+TREE_SQL = "struct<h:bigint,t:array<string>,p:array<int>,k:array<bigint>>"
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of each row: the main text, one line for each block.
 

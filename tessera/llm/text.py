@@ -186,20 +186,33 @@ def written(df, name: str):
 FILTER_BITS = 1 << 25
 
 
+_HIT = "getbit(cast(conv(hex(substring(marks__, cast((slot__ % 32768) div 8 as int) + 1, 1)), 16, 10) as bigint), cast(slot__ % 8 as int)) = 1"
+
+
+def _asked(df, column: str, ids, how: str):
+    from pyspark.sql import functions as F
+
+    slot = lambda name: F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    marks = ids.select(slot(ids.columns[0]).alias("slot")).distinct().select(F.shiftright("slot", 15).alias("chunk__"), (F.col("slot") % 32768).alias("at"))
+    marks = marks.repartition("chunk__").groupBy("chunk__").agg(F.bitmap_construct_agg("at").alias("marks__"))
+    asked = df.withColumn("slot__", slot(column)).withColumn("chunk__", F.shiftright("slot__", 15))
+    return asked.join(F.broadcast(marks), "chunk__", how)
+
+
 def among(df, column: str, ids):
     """Rows of ``df`` whose ``column`` may be one of ``ids``, a table of one column; rows that pass by chance are for a join to drop.
 
     A bitmap of ``FILTER_BITS`` hashed ids is broadcast, so a join by id that follows shuffles little else than what it keeps.
     With many more ids than bits the bitmap fills up and the join shuffles everything, as it would without it.
     """
+    return _asked(df, column, ids, "inner").where(_HIT).select(*df.columns)
+
+
+def marked(df, column: str, ids, flag: str):
+    """``df`` with ``flag``: whether ``column`` may be one of ``ids``; see ``among``. False is certain."""
     from pyspark.sql import functions as F
 
-    slot = lambda name: F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
-    marks = ids.select(slot(ids.columns[0]).alias("slot")).distinct().select(F.shiftright("slot", 15).alias("chunk__"), (F.col("slot") % 32768).alias("at"))
-    marks = marks.repartition("chunk__").groupBy("chunk__").agg(F.bitmap_construct_agg("at").alias("marks__"))
-    asked = df.withColumn("slot__", slot(column)).withColumn("chunk__", F.shiftright("slot__", 15))
-    hit = asked.join(F.broadcast(marks), "chunk__").where("getbit(cast(conv(hex(substring(marks__, cast((slot__ % 32768) div 8 as int) + 1, 1)), 16, 10) as bigint), cast(slot__ % 8 as int)) = 1")
-    return hit.select(*df.columns)
+    return _asked(df, column, ids, "left").select(*df.columns, F.coalesce(F.expr(_HIT), F.lit(False)).alias(flag))
 
 
 def removed(spark, *paths: str) -> None:
