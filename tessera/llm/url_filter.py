@@ -1,8 +1,8 @@
 """URL filters: host-suffix and path-prefix expressions against a rule list, by hash prefix and full digest.
 
-Built-in functions only. Each distinct (host, path) is expanded into the expressions that the rule list can match at all:
-host suffixes of the label counts and path prefixes of the lengths that occur among the rules. The expressions meet the
-rules in an equi-join on the first bytes of their SHA-256; the full digests confirm. The longest rule wins.
+Built-in functions only. Each distinct (host, path) is expanded into its host suffixes; those that some rule names are
+expanded further by path prefixes of the lengths that the rules of that host have. Both expansions meet the rules in an
+equi-join on the first bytes of their SHA-256; the full digests confirm. The longest rule wins.
 """
 
 from __future__ import annotations
@@ -12,10 +12,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rule lists of up to this many rules are broadcast; longer ones are joined by shuffle.
+#: Rule lists of up to so many rules and characters are broadcast; longer ones are joined by shuffle.
 MAX_BROADCAST_RULES = 100_000
-#: More (label count, prefix length) shapes than this mean a malformed rule list.
-MAX_SHAPES = 4_096
+MAX_BROADCAST_CHARS = 8_000_000
 #: Hex digits of the digest that the join uses.
 PREFIX_DIGITS = 8
 
@@ -52,36 +51,33 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 
     A rule ``host/path`` fits its host and every subdomain if the url's path starts with the rule's path. The longest rule
     wins; between rules of equal length the longer host, then ``block``, then the greater rule string. No rule: ``rule``
-    is null and ``verdict`` is ``default``. Null or relative urls have an empty host and fit no rule. Repeated rows are
-    judged alike and all kept; columns of ``pages`` named as a result column are replaced; an empty table stays empty.
+    is null and ``verdict`` is ``default``. Null or relative urls have an empty host and fit no rule; null and empty rules
+    fit nothing. Repeated rows are judged alike and all kept; repeated rules count once; columns of ``pages`` named as a
+    result column are replaced; an empty table stays empty. Rules may be of any number and length, urls of any length: a
+    url yields at most one expression for each of its host suffixes and each path length among that host's rules.
     """
     at = F.instr("rule", "/")
     parsed = rules.where(F.col("rule").isNotNull() & (F.col("rule") != "")).select(
         "rule", "verdict",
         F.translate(F.when(at > 0, F.substr("rule", F.lit(1), at - 1)).otherwise(F.col("rule")), _UPPER, _LOWER).alias("__host"),
         F.when(at > 0, F.substr("rule", at)).otherwise("").alias("__path"),
-    )
-    parsed = parsed.where(F.col("__host") != "").select(
-        "*", F.size(F.split("__host", r"\.")).alias("__labels"), F.length("__path").alias("__plen"))
-    shapes = parsed.select("__labels", "__plen").distinct().limit(MAX_SHAPES + 1).collect()
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"the rules have more than {MAX_SHAPES} shapes")
+    ).where(F.col("__host") != "").distinct()
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     host, path = host_and_path(F.col(f"`{url_col}`"))
     judged = pages.select(*[f"`{c}`" for c in kept], host.alias("host"), path.alias("path"))
-    if not shapes:
-        return judged.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
-    side = _digested(parsed, F.concat("__host", "__path")).select("rule", "verdict", "__labels", "__plen", F.length("__host").alias("__hlen"), "__digest", "__short")
-    if side.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES:
-        side = F.broadcast(side)
-    shape = F.explode(F.array(*[F.struct(F.lit(r[0]).alias("labels"), F.lit(r[1]).alias("plen")) for r in sorted(shapes)])).alias("s")
+    n, chars = parsed.agg(F.count("*"), F.coalesce(F.sum(F.length("rule")), F.lit(0))).first()
+    small = (lambda df: F.broadcast(df)) if n <= MAX_BROADCAST_RULES and chars <= MAX_BROADCAST_CHARS else lambda df: df  # both sides follow the rules' size
+    hosts = parsed.groupBy("__host").agg(F.collect_set(F.length("__path")).alias("__lens"))  # at most one length a character of the longest rule
+    hosts = _digested(hosts, F.col("__host")).select("__lens", "__digest", "__short")
+    side = _digested(parsed, F.concat("__host", "__path")).select("rule", "verdict", F.length("__host").alias("__hlen"), "__digest", "__short")
     urls = judged.where(F.col("host") != "").select("host", "path").distinct()
-    urls = urls.withColumn("__dots", F.length("host") - F.length(F.translate("host", ".", "")))
-    seen = urls.select("host", "path", "__dots", shape).where((F.col("__dots") + 1 >= F.col("s.labels")) & (F.length("path") >= F.col("s.plen")))
-    seen = seen.select("host", "path", F.expr("concat(substring_index(host, '.', -s.labels), left(path, s.plen))").alias("__text"))
-    seen = _digested(seen, F.col("__text")).withColumnRenamed("__digest", "__seen")
-    found = seen.join(side, "__short").where(F.col("__seen") == F.col("__digest"))
+    suffixes = urls.select("host", "path", F.explode(F.expr("sequence(1, length(host) - length(translate(host, '.', '')) + 1)")).alias("labels"))
+    suffixes = suffixes.select("host", "path", F.expr("substring_index(host, '.', -labels)").alias("__suffix"))
+    named = _digested(suffixes, F.col("__suffix")).withColumnRenamed("__digest", "__seen").join(small(hosts), "__short").where(F.col("__seen") == F.col("__digest"))
+    seen = named.select("host", "path", "__suffix", F.explode(F.filter("__lens", lambda x: x <= F.length("path"))).alias("plen"))
+    seen = _digested(seen, F.expr("concat(__suffix, left(path, plen))")).select("host", "path", F.col("__digest").alias("__seen"), "__short")
+    found = seen.join(small(side), "__short").where(F.col("__seen") == F.col("__digest"))
     best = found.groupBy("host", "path").agg(
         F.max(F.struct(F.length("rule").alias("n"), "__hlen", (F.col("verdict") == "block").alias("b"), "rule", "verdict")).alias("m"))
     out = judged.join(best.withColumnsRenamed({"host": "__h", "path": "__p"}), (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p")), "left")
