@@ -94,10 +94,14 @@ def fit(texts: pa.Array, grades: np.ndarray, **options) -> Ordinal:
     return _fit(np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(feats or [np.zeros(0, np.int64)]), grades, **options)
 
 
-def _fit(rows: np.ndarray, feats: np.ndarray, grades: np.ndarray, steps: int = 200, rate: float = 0.2, decay: float = 1e-5, telling: float = TELLING) -> Ordinal:
+def _fit(rows: np.ndarray, feats: np.ndarray, grades: np.ndarray, steps: int = 200, rate: float = 0.2, decay: float = 1e-5, telling: float = TELLING, n_grades: int = 2) -> Ordinal:
     """Maximum likelihood by Adam over all rows; features whose chi-square with every grade step is below ``telling`` keep
-    weight 0, which keeps the many rare words from being learned by heart."""
-    n_grades = max(2, int(grades.max()) + 1) if len(grades) else 2
+    weight 0, which keeps the many rare words from being learned by heart.
+
+    There are ``n_grades`` grades at least, whether they occur or not: a step that no row decides has a threshold from its
+    share clipped to 1 to 99 %. Without any row all weights are 0.
+    """
+    n_grades = max(n_grades, int(grades.max()) + 1) if len(grades) else n_grades
     n = len(grades)
     count = np.bincount(rows, minlength=n)
     scale = 1 / np.sqrt(np.maximum(count, 1)) ** DAMP
@@ -144,16 +148,21 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: Column | None = None, most: int = MAX_LABELLED, seed: str = "ordinal",
-          id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
-    """Fit on the ``most`` labelled rows of smallest keyed hash (all of them if there are fewer).
-
-    Texts go to the driver in Arrow batches and leave only features behind; ``most`` bounds their number.
+          id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3) -> Ordinal:
+    """Fit on the ``most`` labelled documents of smallest keyed hash (all of them if there are fewer).
+
+    The executors turn texts into features; the driver gets those of ``most`` documents, at most 2^22 numbers each. A label
+    that is repeated counts by its lowest grade, and a document that is repeated counts once, by its least text; labels
+    without a document, a grade or an id count nothing. The model always has ``n_grades`` grades: those that no label has
+    become improbable, and without any label all weights are 0 and the tails only differ by step. Other columns are
+    ignored, whatever their names. Texts may be of any length.
     """
     grade = grade_of(F.col("quality"), F.col("toxic")) if grade is None else grade
     rated = labels.select(F.col(f"`{id_col}`").alias("__id"), grade.cast("int").alias("__g"))
     rated = rated.where("__g is not null and __id is not null").groupBy("__id").agg(F.min("__g").alias("__g"))
     rated = rated.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "__id")), "__id").limit(most)
     some = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__t")).join(F.broadcast(rated), "__id")  # bounded by `most`
+    some = some.groupBy("__id").agg(F.min("__t").alias("__t"), F.first("__g").alias("__g"))
 
     def run(batches):
         for b in batches:
@@ -167,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column | None = None, most:
     lists = got.column("f").combine_chunks()
     grades = got.column("g").to_numpy().astype(np.int64)
     sizes = np.diff(lists.offsets.to_numpy())
-    return _fit(np.repeat(np.arange(len(grades)), sizes), lists.flatten().to_numpy().astype(np.int64), grades)
+    return _fit(np.repeat(np.arange(len(grades)), sizes), lists.flatten().to_numpy().astype(np.int64), grades, n_grades=n_grades)
 
 
 def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
