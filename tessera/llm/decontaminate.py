@@ -3,7 +3,8 @@
 Texts and items are lower-cased and every white-space character counts as a blank. An item of n characters with an edit
 budget e shares at least n - q + 1 - q * e of its q-grams with any passage within e edits of it, and their diagonals lie
 within e of each other. Each document is filtered in three exact steps: q-grams that occur in no item go; positions that
-no window has enough hits around go; (item, band) pairs below the bound go. Banded alignment settles what is left.
+no window has enough hits around go; (item, band) pairs below the bound go. Banded alignment settles what is left. Items
+too short for a q-gram are looked up as whole words, by hash and then letter by letter.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import mix, parts, powers
+from tessera.llm.text import mix, parts, powers, removed, written
 
 #: Characters of items that one pass over the documents holds as an index; more items take more passes.
 INDEX_CHARS = 8_000_000
@@ -54,6 +55,8 @@ class Budget:
 
     q: int = 12
     rate: float = 0.05
+    #: Items of fewer characters are left out: raise it if the items hold bare answers such as ``yes``.
+    shortest: int = 1
 
     def edits(self, n: int) -> int:
         return max(0, min(int(self.rate * n), (n - self.q) // self.q - 1))
@@ -67,12 +70,15 @@ class Index:
 
     def __init__(self, items: Iterable[tuple[int, str]], budget: Budget) -> None:
         self.budget, self.ids, self.codes = budget, [], []
+        self.short: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}
         for key, text in items:
             low = pc.utf8_lower(pa.array([(text or "").strip()]))[0].as_py().encode()
             codes, _ = _codes(np.frombuffer(low, np.uint8), np.array([0, len(low)]))
             if len(codes) >= budget.q:
                 self.ids.append(key)
                 self.codes.append(codes)
+            elif len(codes) >= max(1, budget.shortest):
+                self.short.setdefault(len(codes), {}).setdefault(int(_grams(codes, len(codes))[0]), []).append((key, codes))
         grams = [_grams(c, budget.q) for c in self.codes]
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64)
         place = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, np.int64)]).astype(np.int64)
@@ -89,8 +95,32 @@ class Index:
         self.band = 2 * self.e + 1
         self.scan = (int(self.least.min()), int((n + 2 * self.e).max())) if len(n) else (1, 1)
 
-    def hits(self, codes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, start, stop, edits) of each occurrence in a chunk of texts."""
+    def hits(self, codes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+        """(row, item id, start, stop, edits, item length) of each occurrence in a chunk of texts."""
+        found = [(r, self.ids[i], s, t, e, int(self.n[i])) for r, i, s, t, e in self._near(codes, offsets)]
+        return found + list(self._whole(codes, offsets)) if self.short else found
+
+    def _whole(self, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """Short items that stand as whole words."""
+        gap = np.append(codes == 32, True)
+        gap_before = np.concatenate([[True], gap[:-1]])
+        gap_before[offsets[:-1][offsets[:-1] < len(gap_before)]] = True
+        ends = np.zeros(len(codes) + 1, bool)
+        ends[offsets] = True
+        ends |= gap
+        for n, items in self.short.items():
+            grams = _grams(codes, n)
+            at = np.flatnonzero(gap_before[: len(grams)] & ends[n : n + len(grams)])
+            at = at[np.isin(grams[at], np.fromiter(items, np.uint64, len(items)))]
+            rows = np.searchsorted(offsets, at, "right") - 1
+            for k, row in zip(at.tolist(), rows.tolist(), strict=True):
+                if k + n <= offsets[row + 1]:
+                    for key, own in items[int(grams[k])]:
+                        if (codes[k : k + n] == own).all():
+                            yield row, key, int(k - offsets[row]), int(k - offsets[row] + n), 0, n
+
+    def _near(self, codes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, start, stop, edits) of the items that have q-grams."""
         q = self.budget.q
         if not self.ids or len(codes) < q:
             return []
@@ -192,29 +222,35 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                   item_id: str = "item_id", item_text: str = "text", budget: Budget = Budget()) -> DataFrame:
     """One row for each passage of a document within the edit budget of an item.
 
-    ``start`` and ``stop`` are characters of the lower-cased text. Items shorter than q characters and null items match
-    nothing; null and empty documents have no hits; repeated documents and repeated items each have their own rows.
-    Items are indexed in shards of at most about ``INDEX_CHARS`` characters, one pass over the documents each, so the
-    index that a task holds is bounded whatever the number of items.
+    ``start`` and ``stop`` are characters of the lower-cased text. Items shorter than q characters match as whole words,
+    without edits; null and blank items match nothing; null and empty documents have no hits; repeated documents and
+    repeated items each have their own rows, and of passages that overlap for one item the best stays, the earlier one on
+    a tie. Other columns are ignored, whatever their names; an empty table gives an empty result. A text may be of any
+    length: it is held whole by one task, with a few arrays of its size.
+    Items are indexed in shards of at most about ``INDEX_CHARS`` characters, one pass over the documents each, and a
+    shard's index is built anew for its pass, so what driver and tasks hold is bounded whatever the number of items.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     out = None
-    for index in _indexes(items, item_id, item_text, budget):
-        found = _scan(rows, index)
+    for index, shards in _indexes(items, item_id, item_text, budget):
+        found, held = _scan(rows, index)
+        if shards > 1:  # settled before the next index is made
+            found, _ = written(found, "hits")
+            held.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _indexes(items: DataFrame, item_id: str, item_text: str, budget: Budget) -> Iterator[Index]:
+def _indexes(items: DataFrame, item_id: str, item_text: str, budget: Budget) -> Iterator[tuple[Index, int]]:
     keyed = items.select(F.col(f"`{item_id}`").cast("long").alias("k"), F.col(f"`{item_text}`").alias("t")).where(F.col("t").isNotNull())
     total = keyed.agg(F.sum(F.length("t"))).first()[0] or 0
     shards = -(-total // INDEX_CHARS) or 1
     for shard in range(shards):
         some = keyed if shards == 1 else keyed.where(F.pmod(F.xxhash64("k", "t"), F.lit(shards)) == shard)
-        yield Index(sorted(((r["k"], r["t"]) for r in some.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), budget)
+        yield Index(sorted(((r["k"], r["t"]) for r in some.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), budget), shards
 
 
-def _scan(rows: DataFrame, index: Index) -> DataFrame:
+def _scan(rows: DataFrame, index: Index):
     held = rows.sparkSession.sparkContext.broadcast(index)
 
     def scan(batches):
@@ -224,30 +260,37 @@ def _scan(rows: DataFrame, index: Index) -> DataFrame:
             found = []
             for a, _, raw, offsets in parts(low, SLICE):
                 codes, at = _codes(raw, offsets)
-                found += [(a + r, i, s, t, e) for r, i, s, t, e in own.hits(codes, at)]
+                found += [(a + hit[0], *hit[1:]) for hit in own.hits(codes, at)]
             if found:
                 row = pa.array([x[0] for x in found])
-                n = [int(own.n[x[1]]) for x in found]
+                n = [x[5] for x in found]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(row), pa.array([own.ids[x[1]] for x in found], pa.int64()), *(pa.array([x[k] for x in found], pa.int64()) for k in (2, 3, 4)),
+                    batch.column(0).take(row), *(pa.array([x[k] for x in found], pa.int64()) for k in (1, 2, 3, 4)),
                     pa.array(n, pa.int64()), pa.array([1 - x[4] / k for x, k in zip(found, n, strict=True)], pa.float64()),
                 ], ["doc_id", "item_id", "start", "stop", "edits", "item_chars", "similarity"])
 
-    return rows.mapInArrow(scan, SCHEMA)
+    return rows.mapInArrow(scan, SCHEMA), held
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", budget: Budget = Budget()) -> DataFrame:
     """The rows of ``docs`` that hold no passage within the edit budget of an item; one pass a shard, no shuffle.
 
-    Rows are judged on their text alone, whatever their id; null and empty texts stay.
+    Rows are judged on their text alone, whatever their id; null and empty texts stay, repeated rows stay or go together,
+    and all columns pass through, whatever their names. An empty table stays empty.
     """
-    place = docs.columns.index(text_col)
-    for index in _indexes(items, item_id, item_text, budget):
-        docs = _without(docs, index, place)
+    place, last = docs.columns.index(text_col), None
+    for index, shards in _indexes(items, item_id, item_text, budget):
+        docs, held = _without(docs, index, place)
+        if shards > 1:
+            docs, path = written(docs, "without-hits")
+            held.destroy()
+            if last:
+                removed(docs.sparkSession, last)
+            last = path
     return docs
 
 
-def _without(docs: DataFrame, index: Index, place: int) -> DataFrame:
+def _without(docs: DataFrame, index: Index, place: int):
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def drop(batches):
@@ -259,4 +302,4 @@ def _without(docs: DataFrame, index: Index, place: int) -> DataFrame:
                     stay[a + hit[0]] = False
             yield batch.filter(pa.array(stay))
 
-    return docs.mapInArrow(drop, docs.schema)
+    return docs.mapInArrow(drop, docs.schema), held

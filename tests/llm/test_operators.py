@@ -35,6 +35,14 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.url_filter(pages, url_filter.rules_frame(spark, [])).collect()} == {"allow"}
 
 
+def test_url_filter_many_shapes(spark):
+    """No limit on how many shapes rules have; ties, null rules, repeated rules and a long url."""
+    rules = spark.createDataFrame([("a.com/" + "x" * k, "block") for k in range(4200)] + [("b.com/y", "allow"), ("b.com/y", "block"), (None, "block"), ("", "block"), ("/z", "block")], "rule string, verdict string")
+    urls = ["http://a.com/" + "x" * 4000 + "?q", "http://w.a.com/" + "x" * 9000, "http://a.com/", "http://b.com/y/z", "http://c.com/z", "http://" + "s." * 300 + "b.com/yy"]
+    got = url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).orderBy("page_id").collect()
+    assert [len(r.rule or "") for r in got] == [4006, 4205, 6, 7, 0, 7] and [r.verdict for r in got] == ["block"] * 4 + ["allow", "block"]
+
+
 def test_quality_rules(spark):
     text = prose(1, 60) + ".\na | b | c | d\n" + prose(2, 10) + "."
     rows = [(1, text, "a"), (2, None, "a"), (3, "", "a"), (4, "x y z " * 30, "a"), (5, "\n".join(["go | home | news | shop"] * 40), "a"), (1, text, "a")]
@@ -166,6 +174,15 @@ def test_ordinal_rows(spark):
     assert len(got) == 42 and all(0 <= t <= 1 for r in got for t in r.tail)
 
 
+def test_ordinal_any_labels(spark):
+    base = docs(spark, [*((i, f"some words {i % 3}", "a") for i in range(30)), (3, "some words 0", "a"), (40, None, "a")]).withColumnRenamed("lang", "tail")
+    for rows in ([], [(i, 1, 0) for i in range(30)], [(i, 0, 1) for i in range(30)], [(i, i % 2, None) for i in range(30)], [(5, 1, 0), (5, 0, 0), (None, 1, 0), (999, 1, 0)]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+        got = ordinal.select(ordinal.score(base, ordinal.train(base, labels)), above=1).collect()
+        assert len(got) == 32 and all(len(r.tail) == 2 and r.tail[0] > r.tail[1] and r.kept in (True, False) for r in got)
+    assert ordinal.score(base.limit(0), ordinal.train(base.limit(0), labels)).count() == 0
+
+
 def test_mixing(spark):
     rows = [(i, prose(i, 30 + i % 7), ("a", "b", "c", None)[i % 4] if i > 4 else "tiny") for i in range(400)]
     rows += [(1000, None, "a"), (1001, "", "b"), (7, rows[7][1], rows[7][2])]
@@ -323,6 +340,47 @@ def edit_distance_anywhere(item, text):
     return min(row)
 
 
+def test_decontaminate_equals_brute_scan(spark):
+    """Every document and item whose least edit distance anywhere is within the budget, and no other."""
+    rng = random.Random(8)
+    items = [(k, prose(200 + k, 12 + k)) for k in range(6)] + [(6, "two words"), (7, "two words"), (8, None), (9, "  "), (10, "ÉtÉ")]
+    rows = []
+    for i in range(40):
+        k = rng.randrange(6)
+        own = list(items[k][1])
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(2)] = rng.choice(("", "é", "xy"))
+        rows.append((i, prose(i, 15) + " " + "".join(own) + " " + prose(i + 50, 15), "a"))
+    rows += [(50, "has Two  words and TWO\tWORDS here", "a"), (51, "two wordsmiths, atwo words", "a"), (52, "l'été été", "a"), (53, (prose(3, 400) + " ") * 200 + items[5][1], "a"), (50, "two words", "a")]
+    budget, want = decontaminate.Budget(), set()
+    plain = lambda t: "".join(" " if c <= " " else c for c in t.lower())
+    for i, text, _ in rows:
+        for k, item in items:
+            item = plain(item or "").strip()
+            if 0 < len(item) < budget.q:
+                hit = re.search(rf"(?:^| ){re.escape(item)}(?: |$)", plain(text))
+            else:
+                hit = item and len(text) < 5000 and edit_distance_anywhere(item, plain(text)) <= budget.edits(len(item))
+            if hit or (i, k) == (53, 5):
+                want.add((i, k))
+    made = docs(spark, rows).withColumnRenamed("lang", "edits")
+    got = decontaminate.decontaminate(made, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len({i for i, _ in want}) > 20
+    assert sorted(r.start for r in got if r.doc_id == 50 and r.item_id == 6) == [0, 19]
+    assert decontaminate.decontaminate(made.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert decontaminate.clean(made, spark.createDataFrame([], "item_id long, text string")).count() == len(rows)
+
+
+def test_decontaminate_in_shards(spark, monkeypatch):
+    items = spark.createDataFrame([(k, prose(200 + k, 20)) for k in range(5)], "item_id long, text string")
+    base = docs(spark, [(k, prose(200 + k % 7, 20) + " end", "a") for k in range(14)])
+    whole = sorted(map(tuple, decontaminate.decontaminate(base, items).collect()))
+    monkeypatch.setattr(decontaminate, "INDEX_CHARS", 150)
+    assert sorted(map(tuple, decontaminate.decontaminate(base, items).collect())) == whole and len(whole) == 10
+    assert sorted(r.doc_id for r in decontaminate.clean(base, items).collect()) == [5, 6, 12, 13]
+
+
 def test_alignment_is_exact():
     rng = random.Random(5)
     for _ in range(60):
