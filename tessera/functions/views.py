@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.latin import to_latin, to_light
+from tessera.functions import latin as scripts
 from tessera.operators import lexicon as lex
 
 
@@ -21,21 +21,30 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), lex.CONTROL, " ")
 
 
-def name_views(df: DataFrame, name: str = "name", latin: Column | None = None) -> DataFrame:
+def mended(df: DataFrame, column: str, mend: bool) -> DataFrame:
+    """``df`` with ``column`` cleaned, garbled encodings read again if ``mend``, and ``__fixed``: whether that changed any so far."""
+    raw = clean(F.col(column))
+    before = F.col("__fixed") if "__fixed" in df.columns else F.lit(0)
+    if not mend:
+        return df.withColumn("__fixed", before).withColumn(column, raw)
+    new = F.when(raw.rlike(lex.MOJIBAKE), scripts.repair(raw)).otherwise(raw)
+    df = df.withColumn("__raw", raw).withColumn(column, new)
+    return df.withColumn("__fixed", F.greatest(before, (F.col("__raw") != F.col(column)).cast("int"))).drop("__raw")
+
+
+def name_views(df: DataFrame, name: str = "name", by_sound: bool = False) -> DataFrame:
     """``df`` with name_light, name_latin, name_core, name_compact, name_legal, name_first, name_alias, name_init,
     name_ntok, name_empty and deva. A null name counts as empty."""
-    raw = clean(F.col(name))
-    df = df.withColumn("name_light", to_light(raw)).withColumn("name_latin", to_latin(raw) if latin is None else latin)
+    raw, to_latin = clean(F.col(name)), scripts.to_latin_by_sound if by_sound else scripts.to_latin
+    df = df.withColumn("name_light", scripts.to_light(raw)).withColumn("name_latin", to_latin(raw)).withColumn("__alias", to_latin(F.regexp_extract(raw, lex.ALIAS + "(.*)$", 1)))
     toks, legal = tokens(F.col("name_latin")), _map(lex.LEGAL)
     core = F.array_join(F.filter(toks, lambda t: ~t.isin(*lex.LEGAL)), " ")
     core = F.regexp_replace(core, r"^(?:(?:and|et)(?: |$))+|(?: (?:and|et))+$", "")
     df = df.withColumn("name_core", F.when(core == "", F.col("name_latin")).otherwise(core))
     plain = F.filter(tokens(F.col("name_core")), lambda t: ~t.isin(*lex.TLDS))
     compact = F.when(raw.rlike(lex.DOMAIN) & (F.size(plain) > 0), F.array_join(plain, "")).otherwise(F.array_join(tokens(F.col("name_core")), ""))
-    alias = F.regexp_extract(raw, lex.ALIAS + "(.*)$", 1)
-    alias = to_latin(alias) if latin is None else F.trim(F.regexp_replace(F.lower(alias), "[^0-9a-z]+", " "))
-    df = df.withColumn("name_compact", compact).withColumn("__alias", alias)
     return df.withColumns({
+        "name_compact": compact,
         "name_legal": F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(toks, lambda t: t.isin(*lex.LEGAL)), lambda t: legal[t]))), " "),
         "name_first": F.coalesce(F.try_element_at(tokens(F.col("name_core")), F.lit(1)), F.lit("")),
         "name_alias": F.array_join(F.filter(tokens(F.col("__alias")), lambda t: ~t.isin(*lex.LEGAL)), " "),
@@ -73,18 +82,13 @@ def house_number(plain: Column) -> Column:
 
 
 def address_views(df: DataFrame, address: str = "address", country: str = "country", states: bool = False, streets: bool = False,
-                  placeholders: bool = False, latin=None) -> DataFrame:
+                  placeholders: bool = False, by_sound: bool = False) -> DataFrame:
     """``df`` with addr_plain, addr_latin, addr_num, addr_postal, addr_unit, addr_ncomp, addr_missing, addr_empty, hnum."""
     raw, label = clean(F.col(address)), F.col(country)
-    if placeholders:
-        hollow = F.lower(F.trim(raw)).isin(*lex.PLACEHOLDERS)
-        df = df.withColumn("__raw", F.when(hollow, "").otherwise(raw)).withColumn("__hollow", hollow)
-    else:
-        df = df.withColumn("__raw", raw).withColumn("__hollow", F.lit(False))
+    hollow = F.lower(F.trim(raw)).isin(*lex.PLACEHOLDERS) if placeholders else F.lit(False)
+    df = df.withColumn("__hollow", hollow).withColumn("__raw", F.when(hollow, "").otherwise(raw))
     raw = F.col("__raw")
-    # a word that no address has keeps the components apart while the whole address is latinised in one go
-    latin = latin or (lambda c: to_latin(F.regexp_replace(c, ",", " zzcommazz ")))
-    df = df.withColumn("__parts", F.filter(F.transform(F.split(latin(raw), "zzcommazz"), lambda p: F.trim(p)), lambda p: p != ""))
+    df = df.withColumn("__parts", (scripts.latin_components_by_sound if by_sound else scripts.latin_components)(raw))
     plain = F.array_join(F.col("__parts"), " ")
     mapped = F.lit(None).cast("array<string>")
     for name in lex.STREETS:
@@ -98,6 +102,13 @@ def address_views(df: DataFrame, address: str = "address", country: str = "count
     }).drop("__raw", "__hollow", "__parts")
 
 
+def record_views(df: DataFrame, states: bool = False, streets: bool = False, placeholders: bool = False, by_sound: bool = False, mend: bool = False) -> DataFrame:
+    """All views of records (name, address, country); ``fixed`` says whether mending changed name or address."""
+    df = mended(mended(df, "name", mend), "address", mend)
+    df = address_views(name_views(df, by_sound=by_sound), states=states, streets=streets, placeholders=placeholders, by_sound=by_sound)
+    return df.withColumn("fixed", F.col("__fixed").cast("byte")).drop("__fixed")
+
+
 def _components(country: str, states: bool, streets: bool) -> Column:
     return F.transform("__parts", lambda p: _component(p, country, states, streets))
 
@@ -108,7 +119,7 @@ def _component(part: Column, country: str, states: bool, streets: bool) -> Colum
         street = _map(lex.STREETS[country])
         out = F.array_join(F.transform(toks, lambda t: F.coalesce(F.try_element_at(street, t), t)), " ")
     if states and country in lex.STATES:
-        state, rest = _map(lex.STATES[country]), F.slice(toks, 2, 1000)
+        state, rest = _map(lex.STATES[country]), F.slice(toks, F.lit(2), F.greatest(F.size(toks), F.lit(1)))
         hit = F.try_element_at(state, F.try_element_at(toks, F.lit(1)))
         only = hit.isNotNull() & F.forall(rest, lambda t: t.rlike(r"^\d+$"))
         out = F.when(only, F.array_join(F.concat(F.array(hit), rest), " ")).otherwise(out)

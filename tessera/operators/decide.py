@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def decide(pairs: DataFrame, threshold: float | None, cap: int = 15, resolve: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs (q, c, p) with p >= threshold, each c with its best q, then each q's best ``cap``; ``by`` keeps runs apart.
+def decide(pairs: DataFrame, threshold: float, cap: int = 15, resolve: bool = True, q_order: str = "q", c_order: str = "c") -> DataFrame:
+    """Pairs (q, c, p) with p >= threshold, each c with its best q, then each q's best ``cap``.
 
-    Ties go to the smaller q for a c, and to the smaller c for a q. A pair that the cap drops is not given elsewhere.
+    Ties go to the smaller ``q_order`` for a c, and to the smaller ``c_order`` for a q: name columns of input positions there
+    to keep the order of the input. A pair that the cap drops is not given elsewhere.
     """
-    kept = pairs.where(F.col("p") >= (F.lit(threshold) if threshold is not None else F.col("thr")))
+    kept = pairs.where(F.col("p") >= threshold)
     if resolve:
-        kept = kept.withColumn("r", F.row_number().over(W.partitionBy(*by, "c").orderBy(F.desc("p"), "q"))).where("r <= 1").drop("r")
-    kept = kept.withColumn("r", F.row_number().over(W.partitionBy(*by, "q").orderBy(F.desc("p"), "c")))
+        kept = kept.withColumn("r", F.row_number().over(W.partitionBy("c").orderBy(F.desc("p"), q_order))).where("r <= 1").drop("r")
+    kept = kept.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("p"), c_order)))
     return kept.where(F.col("r") <= cap).drop("r")
 
 
@@ -26,11 +27,10 @@ def f05(tp: Column, n_pred: Column, size: Column) -> Column:
     return F.when(size == 0, (n_pred == 0).cast("double")).when(tp == 0, 0.0).otherwise(full)
 
 
-def entity_scores(decided: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def entity_scores(decided: DataFrame, entities: DataFrame) -> DataFrame:
     """Each entity (q, country, tsize) with tp, npred and f05; entities without predictions count."""
-    made = decided.groupBy(*by, "q").agg(F.sum("y").alias("tp"), F.count("*").alias("npred"))
-    base = entities.join(decided.select(*by).distinct(), how="cross") if by else entities  # a few runs
-    out = base.join(made, [*by, "q"], "left").na.fill(0, ["tp", "npred"])
+    made = decided.groupBy("q").agg(F.sum("y").alias("tp"), F.count("*").alias("npred"))
+    out = entities.join(made, "q", "left").na.fill(0, ["tp", "npred"])
     return out.withColumn("f05", f05(F.col("tp"), F.col("npred"), F.col("tsize")))
 
 
@@ -44,14 +44,40 @@ def report(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return scored.groupBy(*by).agg(*aggs) if by else scored.agg(*aggs)
 
 
-def threshold_grid(pairs: DataFrame, entities: DataFrame, grid: list[float], cap: int = 15) -> DataFrame:
-    """(thr, f05, ...) for every threshold in one pass: pairs are repeated for the thresholds that they pass."""
-    each = pairs.withColumn("thr", F.explode(F.array(*[F.lit(float(t)) for t in grid]))).where("p >= thr")
-    decided = decide(each, None, cap, by=("thr",))
-    made = decided.groupBy("thr", "q").agg(F.sum("y").alias("tp"), F.count("*").alias("npred"))
-    base = entities.withColumn("thr", F.explode(F.array(*[F.lit(float(t)) for t in grid])))
-    full = base.join(made, ["thr", "q"], "left").na.fill(0, ["tp", "npred"]).withColumn("f05", f05(F.col("tp"), F.col("npred"), F.col("tsize")))
-    return report(full, ("thr",))
+def threshold_grid(pairs: DataFrame, entities: DataFrame, grid: list[float], cap: int = 15, weights: DataFrame | None = None) -> DataFrame:
+    """(thr, f05, ..., f05_testmix) for every threshold, from one decision.
+
+    The best q of a c does not depend on the threshold, and what a threshold keeps of a q's ranked pairs is a prefix: so
+    pairs are resolved and ranked once, at the lowest threshold, and counted for all. Without ``weights`` (country, w), or
+    where no country has one, ``f05_testmix`` is the plain mean.
+    """
+    steps = F.array(*[F.lit(float(t)) for t in grid])
+    counted = [F.array(*[F.sum(F.when(F.col("p") >= float(t), x)) for t in grid]).alias(name) for name, x in (("tps", F.col("y")), ("npreds", F.lit(1)))]
+    made = decide(pairs, min(grid), cap).groupBy("q").agg(*counted)
+    each = F.arrays_zip(steps.alias("thr"), F.coalesce("tps", F.array_repeat(F.lit(0).cast("long"), len(grid))).alias("tp"), F.coalesce("npreds", F.array_repeat(F.lit(0).cast("long"), len(grid))).alias("npred"))
+    full = entities.join(made, "q", "left").select("q", "country", "tsize", F.inline(each).alias("thr", "tp", "npred")).na.fill(0, ["tp", "npred"])
+    full = full.withColumn("f05", f05(F.col("tp"), F.col("npred"), F.col("tsize")))
+    out = report(full, ("thr",))
+    return out.join(test_mix(full, weights, ("thr",)), "thr")
+
+
+def test_mix(scored: DataFrame, weights: DataFrame | None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(f05_testmix): the mean of the countries' mean F0.5 by their ``weights`` (country, w); the plain mean without any."""
+    per = scored.groupBy(*by, "country").agg(F.sum("f05").alias("s"), F.count("*").alias("n"))
+    per = per.join(weights, "country", "left") if weights is not None else per.withColumn("w", F.lit(None).cast("double"))
+    mean = F.coalesce(F.sum(F.col("w") * F.col("s") / F.col("n")) / F.nullif(F.sum("w"), F.lit(0.0)), F.sum("s") / F.sum("n"))
+    return per.groupBy(*by).agg(F.round(mean, 6).alias("f05_testmix")) if by else per.agg(F.round(mean, 6).alias("f05_testmix"))
+
+
+def tuned(grid: DataFrame, metric: str = "f05_testmix") -> DataFrame:
+    """The row of the best threshold; the lowest one on a tie."""
+    return grid.orderBy(F.desc(metric), "thr").limit(1)
+
+
+def weights_of(queries: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(country, w): shares of ``queries`` (country) among the countries that ``labelled`` has, in four digits."""
+    counts = queries.join(labelled.select("country").distinct(), "country", "left_semi").groupBy("country").agg(F.count("*").alias("n"))
+    return counts.select("country", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 4).alias("w"))  # a row a country
 
 
 def blocking_report(candidates: DataFrame, truth: DataFrame, queries: DataFrame, ks: tuple[int, ...] = (10, 20, 30, 50)) -> DataFrame:
@@ -74,9 +100,20 @@ def lists(pairs: DataFrame, queries: DataFrame, order: list[Column], name: str)
 
 
 def paired_delta(left: DataFrame, right: DataFrame, weights: DataFrame) -> DataFrame:
-    """(delta, se) of two scorings (q, country, f05) of the same entities, countries weighted."""
-    both = left.select("q", "country", F.col("f05").alias("a")).join(right.select("q", F.col("f05").alias("b")), "q")
-    per = both.groupBy("country").agg(F.count("*").alias("n"), F.avg(F.col("b") - F.col("a")).alias("m"), (F.var_pop(F.col("b") - F.col("a")) * F.count("*")).alias("ss"))
+    """(delta, se) of two scorings (q, country, f05) of the same entities, countries weighted; other entities are an error."""
+    both = left.select("q", "country", F.col("f05").alias("a")).join(right.select("q", F.col("f05").alias("b")), "q", "full")
+    paired = F.col("a").isNotNull() & F.col("b").isNotNull()
+    both = both.withColumn("d", F.when(paired, F.col("b") - F.col("a")).otherwise(F.raise_error(F.lit("the scorings are of different entities")).cast("double")))
+    per = both.groupBy("country").agg(F.count("*").alias("n"), F.avg("d").alias("m"), (F.var_pop("d") * F.count("*")).alias("ss"))
     per = per.join(weights, "country")
     total = F.sum("w")
     return per.agg(F.round(F.sum(F.col("w") * F.col("m")) / total, 6).alias("delta"), F.round(F.sqrt(F.sum(F.pow(F.col("w") / F.col("n"), 2) * F.col("ss"))) / total, 6).alias("se"))
+
+
+def errors(pairs: DataFrame, decided: DataFrame, n: int = 8, seed: str = "errors") -> DataFrame:
+    """(kind, q, c, p): up to ``n`` false positives (decided, y = 0) and ``n`` false negatives (candidates with y = 1 that were not)."""
+    wrong = decided.where("y = 0").select(F.lit("FP").alias("kind"), "q", "c", "p")
+    lost = pairs.where("y = 1").join(decided.select("q", "c"), ["q", "c"], "left_anti").select(F.lit("FN").alias("kind"), "q", "c", "p")
+    key = F.md5(F.concat_ws("|", F.col("q").cast("string"), F.col("c").cast("string"), F.lit(seed)))
+    pick = lambda df: df.orderBy(key, "q", "c").limit(n)
+    return pick(wrong).unionByName(pick(lost))

@@ -38,7 +38,8 @@ def flags(q: str = "q", c: str = "c") -> dict[str, Column]:
         "num_exact": equal(*pair("addr_num")), "q_has_num": (v(q, "addr_num") != "").cast("int"), "c_has_num": (v(c, "addr_num") != "").cast("int"),
         "postal_eq": equal(*pair("addr_postal")), "postal_conflict": conflict(*pair("addr_postal")), "unit_eq": equal(*pair("addr_unit")), "unit_conflict": conflict(*pair("addr_unit")),
         "q_ncomp": v(q, "addr_ncomp"), "c_ncomp": v(c, "addr_ncomp"), "c_addr_missing": v(c, "addr_missing"), "q_deva": v(q, "deva"), "c_deva": v(c, "deva"),
-        "cross_script": (v(q, "deva") != v(c, "deva")).cast("int"), "q_ntok": v(q, "name_ntok"), "c_ntok": v(c, "name_ntok"),
+        "cross_script": (v(q, "deva") != v(c, "deva")).cast("int"), "c_fixed": v(c, "fixed"), "is_s3": F.col(f"{c}.id").cast("string").startswith("S3-").cast("int"),
+        "q_ntok": v(q, "name_ntok"), "c_ntok": v(c, "name_ntok"),
         "len_ratio": F.least(F.length(v(q, "name_core")), F.length(v(c, "name_core"))) / F.greatest(F.length(v(q, "name_core")), F.length(v(c, "name_core")), F.lit(1)),
         **house(v(q, "hnum"), v(c, "hnum")),
     }
@@ -46,8 +47,7 @@ def flags(q: str = "q", c: str = "c") -> dict[str, Column]:
 
 def house(a: Column, b: Column) -> dict[str, Column]:
     """House-number features of two digit strings; null unless both are there."""
-    x, y, both = F.expr("double(null)"), F.expr("double(null)"), a.isNotNull() & b.isNotNull()
-    x, y = a.try_cast("double"), b.try_cast("double")
+    x, y, both = a.try_cast("double"), b.try_cast("double"), a.isNotNull() & b.isNotNull()
     lev = F.levenshtein(a, b)
     return {
         "hn_both": both.cast("int"), "hn_eq": F.when(both, (x == y).cast("int")), "hn_absdiff": F.when(both, F.log1p(F.abs(x - y))),
@@ -59,11 +59,12 @@ def house(a: Column, b: Column) -> dict[str, Column]:
 def pair_features(candidates: DataFrame, views: DataFrame, keep: tuple[str, ...] = ("country", "q", "c", "blk", "ncos", "acos", "rank", "in_name")) -> DataFrame:
     """``candidates`` with every feature. Views join after top-k only, so strings of lost pairs never move."""
     q, c = views.alias("q"), views.alias("c")
+    order = [F.col(f"{s}.row_idx").alias(f"{s}_idx") for s in ("q", "c") if "row_idx" in views.columns]  # positions in the input, for ties
     df = candidates.alias("p").join(q, F.col("p.q") == F.col("q.id")).join(c, F.col("p.c") == F.col("c.id"))
     sides = [F.col(f"{s}.{view}") for _, _, view in SCORED for s in ("q", "c")]
     alias = scorer([("ab", "tset"), ("ba", "tset")])(F.col("q.name_core"), F.col("c.name_alias"), F.col("q.name_alias"), F.col("c.name_core"))
     init = lambda i, k: F.when((F.length(k) <= 5) & (F.length(i) >= 2), F.when(k == "", 0.0).otherwise(scorer([("r", "ratio")])(i, k)["r"]))
-    df = df.select(*[F.col(f"p.{k}").alias(k) for k in keep], *[f.alias(n) for n, f in flags().items()], scorer([(n, s) for n, s, _ in SCORED])(*sides).alias("s"), F.greatest(alias["ab"], alias["ba"]).alias("alias_best"),
+    df = df.select(*[F.col(f"p.{k}").alias(k) for k in keep], *order, *[f.alias(n) for n, f in flags().items()], scorer([(n, s) for n, s, _ in SCORED])(*sides).alias("s"), F.greatest(alias["ab"], alias["ba"]).alias("alias_best"),
                    F.greatest(init(F.col("q.name_init"), F.col("c.name_compact")), init(F.col("c.name_init"), F.col("q.name_compact"))).alias("init_match"))
     return within_query(df.select("*", "s.*").drop("s"), {"name_gap": "n_core_tset", "addr_gap": "a_tset"})
 
@@ -76,11 +77,17 @@ def within_query(df: DataFrame, gaps: dict[str, str] | None = None) -> DataFrame
     return df.withColumns(made | {n: F.max(s).over(w) - F.col(s) for n, s in (gaps or {}).items()})
 
 
-def frequency_rates(population: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """``population`` with, for each new column, how often its key occurs among 100,000 records; null for empty keys."""
-    out = population
+def frequency_rates(records: DataFrame, keys: dict[str, str], population: DataFrame | None = None) -> DataFrame:
+    """``records`` with, for each new column, how often its key occurs among 100,000 records of ``population`` (its own country,
+    ``records`` themselves by default); a key that the population lacks counts once, an empty one is null.
+
+    Keys are counted before they are shuffled, and empty ones are not counted, so no key needs a task of its own.
+    """
+    people, out = records if population is None else population, records
+    size = people.groupBy("country").agg(F.count("*").alias("__size"))
+    out = out.join(size, "country", "left")
     for name, key in keys.items():
-        w, size = W.partitionBy("country", key), population.groupBy("country").agg(F.count("*").alias(f"__{name}"))
-        out = out.join(F.broadcast(size), "country")  # one row a country label
-        out = out.withColumn(name, F.when(F.col(key) != "", F.count("*").over(w) * 1e5 / F.col(f"__{name}"))).drop(f"__{name}")
-    return out
+        seen = people.where(F.col(key) != "").groupBy("country", key).agg(F.count("*").alias("__n"))
+        out = out.join(seen, ["country", key], "left")
+        out = out.withColumn(name, F.when(F.col(key) != "", F.coalesce("__n", F.lit(1)) * 1e5 / F.greatest(F.coalesce("__size", F.lit(1)), F.lit(1)))).drop("__n")
+    return out.drop("__size")

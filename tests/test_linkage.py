@@ -1,19 +1,28 @@
 import math
 import os
+import random
+import shutil
+import subprocess
+import sys
+import zipfile
 
 import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera import queries as linkage
 from tessera.functions import kernels
 from tessera.functions.latin import latin, light, repaired
 from tessera.functions.views import address_views, name_views
-from tessera.operators import decide, features
+from tessera.operators import analyses, blocking, decide, features, matcher, sampling
+from tessera.plans import linkage as plans
 from tessera.plans.linkage import Linkage, link
 from tessera.sources import records as sources
+from tessera.sources.world import world
+from tessera.streaming import incremental
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,6 +30,12 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 GALLERY = [
     ("A DIAMOND  SHORT LLC", "126-B New Line Road, 3rd FL, MORRISTOWN, TN", "US", {"name_light": "a diamond short llc", "name_core": "a diamond short", "name_legal": "llc", "name_compact": "adiamondshort", "name_init": "dsl", "addr_plain": "126 b new line road 3rd fl morristown tn", "addr_num": "126", "addr_ncomp": 4, "hnum": "126"}),
     ("wilfordhancock.com", "Mack Rd, Haltom City, Texas", "US", {"name_compact": "wilfordhancock", "name_init": "wc", "addr_num": "", "hnum": None}),
+    # published example records as inputs; the expected views are derived by hand
+    ("krebsview.com", "1795 WESTCHESTER DR # C6, HIGH POINT, NC", "US", {"name_compact": "krebsview", "addr_unit": "c6", "addr_num": "1795", "addr_ncomp": 3}),
+    ("राम मार्केटिंग प्राइवेट लिमिटेड", "१२ राम रोड", "India", {"name_latin": "raam maarketting praaivett limittedd", "name_core": "raam maarketting", "name_legal": "ltd pvt", "deva": 1, "addr_num": "12", "hnum": "12"}),
+    ("Marina Ecole France Sarl", "63 R. DE DIEPPE, LILLE, Hauts-de-France", "France", {"name_core": "marina ecole france", "name_legal": "sarl", "addr_latin": "63 r de dieppe lille hauts de france"}),
+    ("CafÃ© Bleu SARL", "NULL", "France", {"addr_missing": 0, "addr_plain": "null"}),
+    ("Ёлка ООО", "ул. Ленина, 5", "Russia", {"name_latin": "iolka ooo", "addr_plain": "ul lenina 5", "addr_ncomp": 2, "addr_postal": ""}),
     ("Krebs View Inc", "1795 Westchester Drive, Unit C6, High Point, NC", "US", {"name_core": "krebs view", "addr_unit": "c6", "addr_num": "1795"}),
     ("-- Holloway Peak Inc Seafood", "00530 RAMOS DRIVE, MORGANTON, NC 02865", "US", {"name_core": "holloway peak seafood", "addr_num": "2865 530", "addr_postal": "02865", "hnum": "530"}),
     ("Vantagexylo D.B.A. Trinity Lutheran Church", "321 Coal Bend, NULL, Delaware, Ohio", "US", {"name_alias": "trinity lutheran church", "addr_num": "321"}),
@@ -54,18 +69,63 @@ def test_devanagari_and_repair():
     assert light("Straße​  X") == "strasse x"
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text("abc ", max_size=12), st.text("abc ", max_size=12))
-def test_kernels(a, b):
+def brute_lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-    assert kernels.lcs(a, b) == table[-1][-1]
+    return table[-1][-1]
+
+
+def brute_ratio(a, b):
+    return 200.0 * brute_lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+def brute_partial(a, b):
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    if len(a) > len(b):
+        a, b = b, a
+    one = lambda s, t: max(brute_ratio(s, t[max(0, i) : i + len(s)]) for i in range(1 - len(s), len(t)))
+    return max(one(a, b), one(b, a)) if len(a) == len(b) else one(a, b)
+
+
+def brute_token_set(a, b):
+    """From the definition: the strings themselves are put together and compared."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both = " ".join(sorted(x & y))
+    left, right = (" ".join([*([both] if both else []), *sorted(z)]) for z in (x - y, y - x))
+    if both and (x <= y or y <= x):
+        return 100.0
+    best = 100.0 * (1 - (len(" ".join(sorted(x - y))) + len(" ".join(sorted(y - x))) - 2 * brute_lcs(" ".join(sorted(x - y)), " ".join(sorted(y - x)))) / (len(left) + len(right)))
+    return max(best, brute_ratio(both, left), brute_ratio(both, right)) if both else best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("abc ", max_size=12), st.text("abc ", max_size=12))
+def test_kernels(a, b):
+    assert kernels.lcs(a, b) == brute_lcs(a, b)
+    assert math.isclose(kernels.partial_ratio(a, b), brute_partial(a, b), abs_tol=1e-9)
+    assert math.isclose(kernels.token_set_ratio(a, b), brute_token_set(a, b), abs_tol=1e-9)
+    assert math.isclose(kernels.token_sort_ratio(a, b), brute_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), abs_tol=1e-9)
     for f in kernels.SCORERS.values():
         assert 0 <= f(a, b) <= 100.0001 and math.isclose(f(a, b), f(b, a), abs_tol=1e-9)
 
 
+def test_kernels_of_many_lengths():
+    rng = random.Random(4)
+    some = lambda most: "".join(rng.choice("abcdé 😀") for _ in range(rng.randrange(most)))
+    pairs = [(some(40), some(rng.choice((5, 40, 90)))) for _ in range(300)]
+    for (a, b), got in zip(pairs, kernels.partial_ratios(pairs), strict=True):
+        assert math.isclose(got, brute_partial(a, b), abs_tol=1e-9), (a, b)
+    con = duckdb.connect()
+    for a, b in pairs:
+        if a and b:
+            assert math.isclose(kernels.jaro_winkler(a, b), con.execute("select jaro_winkler_similarity(?, ?)", [a, b]).fetchone()[0], abs_tol=1e-9) or not a.isascii() or not b.isascii()
+
+
 def test_known_scores():
     assert round(kernels.ratio("11102", "1110"), 3) == 88.889
     assert kernels.token_set_ratio("a b c", "c b") == 100 and kernels.partial_ratio("abc", "xxabcxx") == 100
@@ -116,6 +176,173 @@ def test_against_sql(spark, name):
     assert sorted(repr([_plain(r[c]) for c in columns]) for r in df.collect()) == sorted(repr([_plain(r[k]) for k in at]) for r in want.fetchall())
 
 
+def test_every_query_without_the_corpus_operators(tmp_path):
+    """The rest imports and registers if the corpus operators are deleted, with or without their pipeline."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'block_union' in q and not [n for n in q if n.startswith('op') or n == 'pipeline'], q; assert set(e.oracle_sql()) <= set(q)"
+    (tmp_path / "tessera/llm/__pycache__").mkdir(parents=True)  # what a deletion may leave behind
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_broken_corpus_operators_are_not_hidden(monkeypatch):
+    def broken(name):
+        raise ModuleNotFoundError("No module named 'nowhere'", name="nowhere")
+
+    monkeypatch.setattr(entry.importlib, "import_module", broken)
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
+
+
+def test_views_with_switches(spark):
+    df = spark.createDataFrame([(1, "CafÃ© Bleu SARL", "NULL", "France"), (2, "राम प्राइवेट", "5 MG Rd, TN", "India"), (3, None, None, "US")], "id int, name string, address string, country string")
+    got = {r.id: r for r in plans.views(df, Linkage(mend=True, by_sound=True, placeholders=True, states=True, streets=True)).collect()}
+    assert got[1].name_light == "café bleu sarl" and got[1].fixed == 1 and got[1].addr_missing == 2 and got[1].addr_plain == ""
+    assert got[2].name_latin == "ram praivet" and got[2].addr_latin == "5 mg road tamil nadu" and got[2].fixed == 0
+    assert got[3].name_empty == 1 and got[3].addr_missing == 1 and got[3].name_light == ""
+    assert {r.fixed for r in plans.views(df, Linkage()).collect()} == {0}
+
+
+def test_settings():
+    plan = Linkage().with_overrides('{"threshold": 0.6, "k_main": 7, "streets": true}')
+    assert (plan.threshold, plan.blocking.k_main, plan.streets, plan.blocking.k_name) == (0.6, 7, True, 10)
+    assert sources.version(plan.switches()) != sources.version(Linkage().switches()) == sources.version(Linkage().switches())
+    with pytest.raises(ValueError, match="unknown"):
+        Linkage().with_overrides({"treshold": 0.6})
+
+
+def test_tokens_of_any_frequency(spark, monkeypatch):
+    """Salted and early dropped tokens change nothing; where no token is under the cap, the rarest tenth counts."""
+    rows = [(i, "x", i % 3 == 0, f"common w{i % 40} v{i % 7}", f"street {i % 11}") for i in range(300)]
+    recs = spark.createDataFrame(rows, "id int, country string, is_query boolean, name string, addr string")
+    channels, plain = {"name": "name", "addr": "addr"}, blocking.Blocking(df_frac=0.2)
+    rounded = lambda p: sorted((r.q, r.c, round(r.ncos, 9), round(r.acos, 9)) for r in blocking.scores(blocking.index(recs, channels, p), p).collect())
+    want = rounded(plain)
+    assert want and rounded(blocking.Blocking(df_frac=0.2, salt=3)) == want
+    monkeypatch.setattr(blocking, "HEAVY", 3)
+    assert rounded(plain) == want
+    bare = blocking.Blocking(df_frac=0.0, min_cap=1)
+    kept = {(r.channel, r.tok) for r in blocking.idf(blocking.postings(recs, channels), bare).collect()}
+    assert ("name", "common") not in kept and {c for c, _ in kept} == {"name", "addr"}
+    assert blocking.index(recs, channels, blocking.Blocking(df_frac=0.2, max_df=0, min_cap=0)).count() >= 0
+
+
+def test_many_to_one_keeps_input_order(spark):
+    pairs = spark.createDataFrame([("S1-10", "c", 0.9, 2, 1), ("S1-9", "c", 0.9, 1, 1)], "q string, c string, p double, q_idx int, c_idx int")
+    assert decide.decide(pairs, 0.5, q_order="q_idx").first().q == "S1-9" and decide.decide(pairs, 0.5).first().q == "S1-10"
+
+
+def test_frequency_rates(spark):
+    rows = spark.createDataFrame([(1, "x", "a"), (2, "x", "a"), (3, "x", ""), (4, "y", "b")], "id int, country string, k string")
+    pool = spark.createDataFrame([(9, "x", "a"), (8, "x", "z")], "id int, country string, k string")
+    assert {r.id: r.f for r in features.frequency_rates(rows, {"f": "k"}).collect()} == {1: 2e5 / 3, 2: 2e5 / 3, 3: None, 4: 1e5}
+    assert {r.id: r.f for r in features.frequency_rates(rows, {"f": "k"}, pool).collect()} == {1: 5e4, 2: 5e4, 3: None, 4: 1e5}
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    records, truth = world(spark, DATA)
+    records = records.where("country = 'US'")
+    views = plans.stored_views(records, Linkage(), root)
+    assert plans.stored_views(records.limit(1), Linkage(), root).count() == views.count() == records.count()  # the second call reads
+    with pytest.raises(ValueError, match="rows written"):
+        sources.write_views(records, root, {"other": 1}, 1)
+    assert not os.path.exists(tmp_path / sources.version({"other": 1}))
+    scan = sources.read_views(spark, f"{root}/{sources.version(Linkage().switches())}", ["id", "name_core"], ["US"])
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(country" in plan and "ReadSchema: struct<id:string,name_core:string>" in plan
+    assert sources.looked_up(views, spark.createDataFrame([("S1-3",), ("S1-3",)], "id string"), ["name"]).count() <= 1
+    scored = plans.staged(views, Linkage(), truth).withColumn("p", F.round(F.col("n_core_jw"), 3))
+    queries = records.where("is_query").select(F.col("id").alias("q"), "row_idx")
+    facts = plans.write_outputs(scored, queries, Linkage(), f"{root}/out")
+    assert set(facts["violations"].values()) == {0} and facts["links"] > 0
+    lines = [line for part in sorted((tmp_path / "out/matching_results").glob("part-*")) for line in part.read_text().splitlines() if not line.startswith("q\t")]
+    assert [line.split("\t")[0] for line in lines] == [r.q for r in queries.orderBy("row_idx").collect()]
+    again = plans.rethreshold(spark, f"{root}/out/scores", queries, [0.75]).collect()
+    assert sorted((r.q, r.matched_ids) for r in again) == sorted(tuple(line.split("\t")) for line in lines)
+    assert "settings" in (tmp_path / "out/run.json").read_text()
+
+
+def test_inputs(spark, tmp_path):
+    inputs = sources.Inputs(f"file://{tmp_path}/in")
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for n in (1, 2, 3):
+            z.writestr(f"train_source{n}.tsv", f"entity_id\tbusiness_name\tbusiness_address\tcountry\nS{n}-1\tA\tB\tUS\nS{n}-2\tC\t\tFrance\n")
+        z.writestr("__MACOSX/x.tsv", "")
+    assert len(sources.unzipped(str(tmp_path / "a.zip"), str(tmp_path / "in"))) == 3
+    assert inputs.missing(spark, "train") == [inputs.truth("train")]
+    (tmp_path / "in/train_ground_truth.tsv").write_text("q\tids\nS1-1\tS2-1\nS1-2\t\n")
+    queries = sources.read_queries(spark, inputs.sources("train")[0])
+    assert [r.q for r in queries.orderBy("row_idx").collect()] == ["S1-1", "S1-2"]
+    assert [r.country for r in sources.labels_in(queries, sources.read_records(spark, inputs.sources("train"))).collect()] == ["France", "US"]
+    a, b = sampling.split_by(queries, spark.createDataFrame([("S1-2",)], "v string"), "q")
+    assert a.count() == b.count() == 1 and b.first().q == "S1-1"
+    _, pairs = sources.read_truth(spark, inputs.truth("train"))
+    later = spark.createDataFrame([("S1-1", "S3-9"), ("S1-5", "S3-8")], "q string, c string")
+    assert sorted(map(tuple, sources.merged_truth(pairs, later).collect())) == [("S1-1", "S3-9"), ("S1-5", "S3-8")]
+
+
+def test_validator_counts(spark):
+    queries = spark.createDataFrame([("a",), ("b",), ("b",), ("d",)], "q string")
+    matches = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", None), ("z", "y")], "q string, c string")
+    candidates = spark.createDataFrame([("a", "x"), ("b", "x")], "q string, c string")
+    assert sources.validated(matches, candidates, queries) == {"missing": 1, "unknown": 1, "repeated": 1, "outside": 1, "used_twice": 1}
+
+
+def test_weights_and_mix(spark):
+    scored = spark.createDataFrame([("a", "US", 1.0), ("b", "US", 0.0), ("c", "India", 1.0)], "q string, country string, f05 double")
+    weights = spark.createDataFrame([("US", 0.5), ("India", 0.5)], "country string, w double")
+    assert decide.test_mix(scored, weights).first()[0] == 0.75 and decide.test_mix(scored, None).first()[0] == round(2 / 3, 6)
+    assert decide.test_mix(scored, weights.limit(0)).first()[0] == round(2 / 3, 6)
+    with pytest.raises(Exception, match="different entities"):
+        decide.paired_delta(scored, scored.limit(2), weights).collect()
+    assert matcher.adopted({"a": (0.1, 0.01), "b": (0.05, 0.01), "c": (0.01, 0.01)}) == ["a", "b"]
+    assert matcher.adopted({"a": (0.1, 0.01), "b": (0.05, 0.01)}, (0.05, 0.01)) == ["a"]
+
+
+def test_trained_run(spark, tmp_path):
+    records, truth = world(spark, DATA)
+    run = plans.mini(spark, records, truth, {"k_main": 10}, rounds=5, depth=4)
+    assert run["plan"]["blocking"]["k_main"] == 10 and run["resolve_true"]["f05"] > 0.6 and run["gains"][0][1] > 0
+    sources.save_model(run["model"], f"file://{tmp_path}/m")
+    pairs = spark.createDataFrame([(1, *[0.5] * len(plans.FEATURES))], ["q", *plans.FEATURES])
+    a, b = (matcher.predict(pairs, m, plans.FEATURES).first().p for m in (run["model"], sources.load_model(f"file://{tmp_path}/m")))
+    assert a == b
+
+
+def test_stream(spark, tmp_path):
+    """Two batches give what one run over all records gives, and a pool record that both want goes to the better one."""
+    records, _ = world(spark, DATA)
+    seen = plans.views(records, Linkage()).select("country", "id", "is_query", F.col("name_core").alias("name"), F.col("addr_plain").alias("addr"))
+    channels, asked = {"name": "name", "addr": "addr"}, seen.where("is_query")
+    for k in range(2):
+        asked.where(F.pmod(F.xxhash64("id"), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    pool = incremental.Pool(seen.where("not is_query"), channels, blocking.Blocking())
+    score = lambda pairs: pairs.withColumn("p", F.round(F.col("blk") / 10, 6))
+    arriving = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    incremental.link_stream(arriving, pool, lambda pairs, _: score(pairs), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination(120)
+    assert len([p for p in os.listdir(tmp_path / "out") if p.startswith("epoch=")]) == 2
+    whole = score(blocking.candidates(blocking.scores(blocking.index(seen, channels, blocking.Blocking()), blocking.Blocking()), blocking.Blocking()))
+    got = incremental.matches(spark, f"file://{tmp_path}/out", 0.3).select("q", "c", "p").collect()
+    want = decide.decide(whole, 0.3).select("q", "c", "p").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r.c for r in got}) == len(got) > 10
+
+
+def test_plans_of_blocking(spark):
+    """The text is split once, and pairs are resolved once for a whole grid of thresholds."""
+    recs = spark.createDataFrame([(i, "x", i % 3 == 0, f"w{i % 9} v{i % 7}", "") for i in range(60)], "id int, country string, is_query boolean, name string, addr string")
+    indexed = blocking.index(recs, {"name": "name", "addr": "addr"}, blocking.Blocking(df_frac=0.5))
+    plan = blocking.candidates(blocking.scores(indexed, blocking.Blocking()), blocking.Blocking())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and "ArrowEvalPython" not in plan and "CartesianProduct" not in plan
+    pairs = spark.createDataFrame([(1, 2, 0.5, 1)], "q int, c int, p double, y int")
+    ents = spark.createDataFrame([(1, "x", 1)], "q int, country string, tsize long")
+    grid = decide.threshold_grid(pairs, ents, plans.GRID)
+    assert grid._jdf.queryExecution().optimizedPlan().toString().count("Window [") <= 4 and grid.count() == len(plans.GRID)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
