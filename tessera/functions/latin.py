@@ -17,6 +17,8 @@ _VOWELS = dict(zip("अआइईउऊएऐओऔऑऋ", "a aa i ii u uu e ai
 _SIGNS = dict(zip("ािीुूेैोौॉृ", "aa i ii u uu e ai o au o ri".split(), strict=True))
 _CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह", "k kh g gh ng c ch j jh ny tt tth dd ddh nn t th d dh n p ph b bh m y r l v sh ss s h".split(), strict=True))
 _VIRAMA, _NASALS = "्", "ंँ"
+_UNSEEN, _DEVA, _OTHER = re.compile("[​‌‍⁠﻿­]"), re.compile("[ऀ-ॿ]+"), re.compile("[^0-9a-z]+")
+_BEYOND, _NON_ASCII = re.compile("[^\x00-ʯ]"), re.compile("[^\x00-\x7f]")
 _CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґўђјљњћџ", "a b v g d e io zh z i i k l m n o p r s t u f kh ts ch sh shch _ y _ e iu ia i i ie g u dj j lj nj c dz".split(), strict=True))
 _GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
 _BY_LETTER = {c: "" if t == "_" else t for table in (_CYRILLIC, _GREEK) for c, t in table.items()}
@@ -87,15 +89,13 @@ def latin(text: str, by_sound: bool = False) -> str:
 
     Letters beyond Latin go by rule: the layout of their block, their table, or their Unicode name; digits by their value.
     """
-    text = unicodedata.normalize("NFKC", re.sub("[​‌‍⁠﻿­]", "", text))
-    if by_sound:
-        text = re.sub(r"[ऀ-ॿ]+", lambda m: deva_word(m[0]), text)
-    low = text.lower().translate(_FOLD)
-    if not low.isascii():
-        low = unicodedata.normalize("NFKD", "".join(_letter(c) if c > "ʯ" else c for c in low))
-        low = "".join(c if c < "ʰ" else _letter(c) for c in low if not unicodedata.combining(c))
-    low = low.replace("&", " and ")
-    return " ".join(re.sub(r"[^0-9a-z]+", " ", low).split())
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", _UNSEEN.sub("", text))
+        if by_sound:
+            text = _DEVA.sub(lambda m: deva_word(m[0]), text)
+        text = unicodedata.normalize("NFKD", _BEYOND.sub(lambda m: _letter(m[0]), text.lower().translate(_FOLD)))
+        text = _NON_ASCII.sub(lambda m: "" if unicodedata.combining(m[0]) else _letter(m[0]), text)
+    return " ".join(_OTHER.sub(" ", text.lower().replace("&", " and ")).split())
 
 
 def light(text: str) -> str:

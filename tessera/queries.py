@@ -104,7 +104,8 @@ def idf_table(spark, sf_dir):
 
 @query(f"with {REC}{CANDS}, r as (select *, row_number() over (partition by q order by round(ncos, 6) desc, c) as rn from sc where ncos > 0) select country, q, c, round(ncos, 6) as ncos, rn - 1 as rank from r where rn <= 50")
 def block_name_topk(spark, sf_dir):
-    return blocking.top_names(_scores(spark, sf_dir), 50)
+    named = blocking.index(records(spark, sf_dir), {"name": "name"}, P)
+    return blocking.top_names(blocking.scores(named, P), 50)
 
 
 @query(f"with {REC}{CANDS} select country, q, c, round(blk, 6) as blk, round(ncos, 6) as ncos, round(acos, 6) as acos, rank, in_name from cand")
