@@ -140,8 +140,23 @@ def test_licenses_every_sentence(spark):
         "AsIs": "The software is provided 'as\u00a0is'", "BsdUse": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "BsdSource": "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
         "BsdBinary": "Redistributions in binary form must reproduce the above copyright notice", "BsdNames": "Neither the name of A nor B may be used to endorse or promote products derived from this software", "GplRef": "under the GNU General Public License, version 3", "LgplRef": "under the GNU Lesser General Public License version 2.1",
         "OrLater": "at your option any later  version", "GplNoWarranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "MplRef": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "CcRef": "Licensed under CC BY 4.0", "PublicDomain": "This work is in the public-domain",
+        "MitLiability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY", "IscTitle": "The ISC License", "IscGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "ZeroGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "IscAsIs": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE', "IscLiability": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES",
+        "ZlibTitle": "zlib License", "ZlibAsIs": "This software is provided 'as-is', without any express or implied warranty.", "ZlibLiability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+        "ZlibGrant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "ZlibOrigin": "1. The origin of this software must not be misrepresented; you must not claim that you wrote it",
+        "ZlibCredit": "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.", "ZlibAltered": "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", "ZlibNotice": "3. This notice may not be removed or altered from any source distribution.",
+        "BsdTitle": "BSD 3-Clause License", "BsdRef": "Released under the BSD 2-Clause License", "BsdAsIs": 'THIS SOFTWARE IS PROVIDED BY THE AUTHOR "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES', "BsdLiability": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+        "ApacheTitle": "Apache License", "ApacheGrant": "The ASF licenses this file to you under the Apache License, Version 2.0", "ApacheSee": "See the License for the specific language governing permissions and limitations under the License.", "ApacheTeam": "Licensed to the ASF under one or more contributor license agreements.",
+        "ApacheNotice": "See the NOTICE file distributed with this work for additional information regarding copyright ownership.", "MplTitle": "Mozilla Public License Version 2.0", "MplCopy": "If a copy of the MPL was not distributed with this file, You can obtain one at x", "EplRef": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0",
+        "BslTitle": "Boost Software License - Version 1.0", "BslRef": "Distributed under the Boost Software License, Version 1.0", "BslGrant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+        "UnlicensePublic": "This is free and unencumbered software released into the public domain.", "UnlicenseGrant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form", "UnlicenseLaws": "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all interest",
+        "WtfplTitle": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "WtfplGrant": "0. You just DO WHAT THE FUCK YOU WANT TO.", "CcZero": "CC0 1.0 Universal license", "CcNamed": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+        "GnuSee": "See the GNU General Public License for more details.", "GnuCopy": "You should have received a copy of the GNU Affero General Public License along with this program", "GplGrant": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+        **{f"{n}LaterGrant": f"This library is free software: you can redistribute it and/or modify it under the terms of the GNU {g}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version." for n, g in (("Gpl", ""), ("Lgpl", "Lesser "), ("Agpl", "Affero "))},
+        **{f"{n}Grant": f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {g}General Public License as published by the Free Software Foundation, version 3." for n, g in (("Lgpl", "Lesser "), ("Agpl", "Affero "))},
+        **{f"{n}LaterRef": f"Licensed under the GNU {g}General Public License v3 or later" for n, g in (("Gpl", ""), ("Lgpl", "Lesser "), ("Agpl", "Affero "))}, "AgplRef": "GNU Affero General Public License v3",
     }
-    names = [n for n, _ in licenses.SENTENCES]
+    names = list(dict.fromkeys(n for n, _ in licenses.SENTENCES))
     assert sorted(said) == sorted(names)
     rows = [*((i, said[n], "a") for i, n in enumerate(names)), (100, "(c) 2020 A. All rights reserved.", "a"), (101, "The MIT License\nCopyright A\nAll rights reserved.\n" + said["MitGrant"], "a"), (102, "copyright A " + "x " * 3000, "a"), (103, "we give a license " + "x " * 3000, "a")]
     got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
@@ -150,6 +165,73 @@ def test_licenses_every_sentence(spark):
     assert [s.identifier for s in got[102].sentences] == ["Copyright"] and got[103].n_unknown == 1
 
 
+LICENCES = {
+    "MIT": """Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "GPL-3-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+}
+
+
+def test_licenses_wrapped_and_run_together(spark):
+    """Published texts as they are wrapped, in a comment, on one line, wrapped anew, and amid other text."""
+    rng, rows = random.Random(3), []
+    for name, text in LICENCES.items():
+        words = text.replace("\n\n", " \0 ").split()
+        anew = " ".join(w + ("\n" if rng.random() < 0.15 else "") for w in words).replace(" \0 ", "\n\n").replace("\0", "\n\n")
+        forms = [text, "/*\n" + "\n".join(" * " + line for line in text.splitlines()) + "\n */", "# " + text.replace("\n", "\n# "), " ".join(text.split()), anew, prose(1, 30) + ".\n\n" + text + "\n\n" + prose(2, 30)]
+        rows += [(len(rows) + k, f, name) for k, f in enumerate(forms)]
+    got = {r.doc_id: r.licences for r in licenses.scan(docs(spark, rows)).collect()}
+    assert [(i, got[i]) for i, _, name in rows if got[i] != [name]] == []
+
+
+def test_licenses_edges(spark):
+    long = "word " * 200_000
+    rows = [(1, long + ". Released under the MIT License.", "a"), (1, long + ". Released under the MIT License.", "a"), (2, "see the license\n" * 20_000, "a"), (3, "copyright me\n" * 20_000, "a")]
+    got = licenses.scan(docs(spark, rows).withColumnRenamed("lang", "licences")).collect()
+    assert sorted((r.doc_id, r.licences, r.n_unknown) for r in got) == [(1, ["MIT"], 0), (1, ["MIT"], 0), (2, [], 20_000), (3, [], 0)]
+    assert licenses.scan(docs(spark, [])).count() == 0
+
+
 def test_ordinal_held_out():
     rng = random.Random(1)
     texts, grades = [], []
