@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, html_wrapper, licenses, mixing, near_duplicates, ordinal, pii, quality_rules, suffix_dedup, url_filter
+from tessera.llm.text import written
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 #: The key of surrogates; a deployment passes its own secret to the operator.
@@ -25,8 +26,8 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = pii.pseudonymise(docs, PII_KEY)
-    return done.select("doc_id", "text", F.coalesce(F.size("pii"), F.lit(0)).alias("n_entities"), "pii")
+    done, _ = written(pii.pseudonymise(docs, PII_KEY), "surrogates")  # the checks read its spans, then the result its texts
+    return pii.checked(done).select("doc_id", "text", F.coalesce(F.size("pii"), F.lit(0)).alias("n_entities"), "pii", "pii_checks")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,11 +106,78 @@ def test_pii(spark):
     assert pii.collisions(done).count() == 0 and pii.torn(done).count() == 0
 
 
+def test_pii_later_mentions(spark):
+    """A person keeps one surrogate, in whole and in part, in this document and in others; other words stay."""
+    text = "Mrs. Anna Smith signed. Later Anna Smith and Smith agreed. John Miller said so: Miller, not Milland. Call 555-123-4567 or (555) 123-4567, 06 12 34 56 78."
+    rows = [(1, text, "a"), (2, "Mr Miller and Jean-Pierre O'Neill. Smithy and Smith stay.", "a"), (3, "Herr Smith", "a")]
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, rows), "k").collect()}
+    new = got[1].text
+    assert not re.search("Anna|Smith|John|Miller[^a]|555|06 12", new) and "Milland" in new and "Smithy and Smith stay" in got[2].text
+    anna, smith = re.match(r"Mrs\. (\w+) (\w+) signed\. Later (?:\1 \2) and (?:\2) agreed", new).groups()
+    assert anna in pii.GIVEN["latin", "f"] and got[3].text == f"Herr {smith}" and len(smith) == 5
+    miller = re.search(r"agreed\. (\w+) (\w+) said so: \2, not", new)
+    assert miller[1] in pii.GIVEN["latin", "m"] and got[2].text.startswith(f"Mr {miller[2]} and ")
+    assert re.search(r"Call (\d{3})-(\d{3})-(\d{4}) or \(\1\) \2-\3, 0\d( \d\d){4}\.", new)
+    for r in got.values():
+        for p in r.pii:
+            assert r.text[p.new_start : p.new_start + len(p.surrogate)] == p.surrogate
+
+
+def test_pii_names_are_a_permutation():
+    """No two names of a shape meet, none stays, a female ending stays one, and capitals and joints stay in place."""
+    import itertools
+
+    names = ["".join(x).capitalize() for x in itertools.product(["s", "st", "sx", "q"], ["a", "ae", "ai", "é"], ["n", "nn", "nq", "rth"], ["", "a", "o", "y"])]
+    for role, gender in (("surname", ""), ("given", "f"), ("given", "m")):
+        made = [pii.name_part(n, role, gender, b"k") for n in names]
+        assert len(set(made)) == len(names) and not any(a == b for a, b in zip(names, made, strict=True))
+        assert all((a[-1] in "aei") == (b[-1] in "aei") and len(a) == len(b) and b[0].isupper() for a, b in zip(names, made, strict=True))
+    assert re.fullmatch(r"O'[A-Z]\w+-[A-Z]\w+", pii.name_part("O'Brien-Li", "surname", "", b"k").replace(pii.name_part("O'Brien-Li", "surname", "", b"k")[0], "O", 1))
+
+
+def test_pii_accounts_stay_valid():
+    valid = lambda v: int("".join(str(int(c, 36)) for c in v.replace(" ", "")[4:] + v[:4])) % 97 == 1
+    for good in ("DE44 5001 0517 5407 3249 31", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606"):
+        new = pii.surrogate("iban", good, "", b"k")
+        assert valid(good) and valid(new) and new[:2] == good[:2] and new != good and [c == " " for c in new] == [c == " " for c in good]
+        assert pii.surrogate("iban", good.replace(" ", ""), "", b"k") == new.replace(" ", "")
+    assert not valid(pii.surrogate("iban", "DE45 5001 0517 5407 3249 31", "", b"k"))
+
+
+def test_pii_checks(spark):
+    base = docs(spark, [(1, "mail a.b@corp.com and token=abcdefghij0123456789", "a"), (2, "A.B@corp.com", "a"), (3, None, "a"), (4, "plain", "a"), (1, "again a.b@corp.com", "a"), (None, "a.b@corp.com", "a")])
+    done = pii.pseudonymise(base, "k").withColumnRenamed("lang", "pii_checks")
+    got = pii.checked(done).collect()
+    assert len(got) == 6 and all(r.pii_checks == [] for r in got)
+    # a second corpus whose originals are spelled like surrogates of the first, and surrogates that meet or part
+    echo = next(p for r in got if r.doc_id == 2 for p in r.pii).surrogate
+    more = pii.pseudonymise(docs(spark, [(7, f"write to {echo}", "a")]), "k")
+    both = done.select("doc_id", "text", "pii").unionByName(more.select("doc_id", "text", "pii"))
+    assert {r.doc_id for r in pii.checked(both).where("array_contains(pii_checks, 'echo')").collect()} == {1, 2}
+    other = pii.pseudonymise(base, "another key").select("doc_id", "text", "pii")
+    from pyspark.sql import functions as F
+
+    same = other.withColumn("pii", F.transform("pii", lambda p: p.withField("entity", F.lit("x"))))
+    assert {r.doc_id for r in pii.checked(same).where("array_contains(pii_checks, 'torn')").collect()} == set()  # one form each type
+    met = done.select("doc_id", "text", "pii").withColumn("pii", F.transform("pii", lambda p: p.withField("form", F.lit("y")).withField("entity", F.concat(p["entity"], F.col("doc_id").cast("string")))))
+    assert {r.doc_id for r in pii.checked(met).where("array_contains(pii_checks, 'collision')").collect()} == {1, 2}
+    with pytest.raises(ValueError, match="secret key"):
+        pii.pseudonymise(base, "")
+
+
+def test_pii_edges(spark):
+    long = "x " * 300_000 + "Mrs. Anna Smith " + "y " * 1000 + "Smith"
+    rows = [(1, long, "a"), (1, long, "a"), (2, "Mr. Bo Ek " * 3000, "a")]
+    got = pii.pseudonymise(docs(spark, rows).withColumnRenamed("lang", "pii"), "k").collect()
+    assert [len(r.pii) for r in got if r.doc_id == 1] == [2, 2] and len(next(r for r in got if r.doc_id == 2).pii) == 3000
+    assert pii.pseudonymise(docs(spark, []), "k").count() == 0
+
+
 def test_pii_hint_covers_patterns(spark):
     said = {
         "email": ["a@b.com"], "ip": ["97.51.17.173"], "iban": ["DE44 5001 0517 5407 3249 31"], "card": ["4111 1111 1111 1111"], "ssn": ["123-45-6789"], "phone": ["+49 171 555 7713", "+٤٩ ١٧١ ٥٥٥ ٧٧١٣"],
         "secret": ["password: correct-horse-battery-staple", "api_key=AbCdEfGhIjKlMnOpQr", "APIKEY = 'AbCdEfGhIjKlMnOpQr'", "Token=\tAbCdEfGhIjKlMnOpQr", "\u017fecret:AbCdEfGhIjKlMnOpQr", "passwd: AbCdEfGhIjKlMnOpQr", "access-key: AbCdEfGhIjKlMnOpQr", "ap\u0130_key: AbCdEfGhIjKlMnOpQr"],
-        "name": [f"{t} Bo Ek" for t in ("Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Mme")] + ["г-н Иван Ива", "г-жа Анна Ива"],
+        "name": ["Anna Ek", "Jean-Pierre Ek", "Иван Петров", "Maria J. Ek"] + [f"{t} Bo Ek" for t in ("Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Mme")] + ["г-н Иван Ива", "г-жа Анна Ива"],
     }
     assert sorted(said) == sorted(pii.TYPES)
     rows = [(kind, text) for kind, texts in said.items() for text in texts]
