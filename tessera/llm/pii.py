@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.text import marked, written
+
 # Given names by script and gender. Entities from a list get surrogates from the same list.
 GIVEN = {
     ("latin", "f"): "Alice Amelie Andrea Angela Anna Anne Barbara Beatriz Brigitte Camille Carla Carmen Catherine Charlotte Chloe Claire Claudia Cristina Diana Elena Elizabeth Ella Emily Emma Eva Fiona Greta Hanna Hannah Heike Helen Helena Ines Irene Isabel Jennifer Jessica Julia Julie Karin Katharina Laura Lena Linda Lisa Louise Lucia Manon Margaret Maria Marie Marta Mary Monika Nathalie Nicole Nina Nora Olga Olivia Patricia Paula Petra Pilar Rosa Sabine Sandra Sara Sarah Sofia Sophie Stefanie Susan Teresa Ursula Valerie Vera Yvonne".split(),
@@ -421,6 +423,9 @@ def checked(done: DataFrame, id_col: str = "doc_id") -> DataFrame:
     by_form = spans.join(bad.where("form is not null").select("type", "form", "check"), ["type", "form"]).select("id__", "check")
     by_entity = spans.join(bad.where("entity is not null").select("type", "entity", "check"), ["type", "entity"]).select("id__", "check")
     found = by_form.unionByName(by_entity).groupBy("id__").agg(F.array_sort(F.collect_set("check")).alias("pii_checks"))
-    rest = done.drop("pii_checks")
-    out = rest.join(found, F.col(f"`{id_col}`") == F.col("id__"), "left").drop("id__")
-    return out.withColumn("pii_checks", F.coalesce("pii_checks", F.array().cast("array<string>")))
+    found, _ = written(found, "pii-checks")
+    # texts of rows that cannot be listed are not shuffled
+    rest = marked(done.drop("pii_checks"), id_col, found.select("id__"), "maybe__")
+    none = F.array().cast("array<string>")
+    some = rest.where("maybe__").join(found, F.col(f"`{id_col}`") == F.col("id__"), "left").drop("id__", "maybe__").withColumn("pii_checks", F.coalesce("pii_checks", none))
+    return rest.where("not maybe__").drop("maybe__").withColumn("pii_checks", none).unionByName(some)
