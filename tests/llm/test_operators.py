@@ -346,6 +346,30 @@ def test_mixing(spark):
     assert mixing.taken(mixing.mix(docs(spark, []))).count() == 0
 
 
+def test_mixing_many_sources(spark, monkeypatch):
+    """Sources that the executors plan get what the driver would plan; there is no limit to their number."""
+    rows = [(i, prose(i, 20 + i % 9), [None, "", "é", *"abcdefgh"][i * i % 11]) for i in range(300)] + [(1000, None, "empty"), (1001, "one", "tiny")]
+    base = docs(spark, rows).withColumnRenamed("lang", "taken")
+    want = sorted(map(tuple, mixing.taken(mixing.mix(base, block=16)).collect()), key=repr)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    got = sorted(map(tuple, mixing.taken(mixing.mix(base, block=16)).collect()), key=repr)
+    assert [(*r[:3], r[4]) for r in got] == [(*r[:3], r[4]) for r in want] and all(abs(a[3] - b[3]) < 1e-6 for a, b in zip(got, want, strict=True))
+    many = spark.range(20_000).selectExpr("id as doc_id", "repeat('w ', cast(3 + id % 5 as int)) as text", "concat('s', id) as source")
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1000)
+    n, took, words, over = mixing.taken(mixing.mix(many)).selectExpr("count(*)", "sum(taken)", "sum(size)", "max(taken - 3 * size)").first()
+    assert n == 20_000 and over <= 0 and abs(took - words) <= 0.02 * words
+    assert mixing.taken(mixing.mix(docs(spark, []))).count() == 0
+
+
+def test_mixed_corpus(spark):
+    rows = [(i, prose(i, 30 + i % 7), "ab"[i % 2]) for i in range(60)] + [(None, prose(500 + i % 3, 30), "a") for i in range(6)] + [(3, prose(3, 33), "b"), (70, prose(1, 9000), "b")]
+    base = docs(spark, rows).withColumnRenamed("n_chars", "target")
+    m = mixing.mix(base, block=16)
+    got = mixing.mixed(base, m).collect()
+    assert len(got) == len(rows) and sum(r.taken for r in got) == sum(r.taken for r in mixing.taken(m).collect()) > 0
+    assert all(r.size == len(r.text.split()) and r.taken <= 3 * r.size for r in got)
+
+
 def test_mixing_small_sources(spark):
     rows = [(i, prose(i, 60), "big" if i % 2 else "main") for i in range(400)] + [(1000 + i, prose(i, 20 + i), f"tail{i:02}") for i in range(20)]
     m = mixing.mix(docs(spark, rows))
