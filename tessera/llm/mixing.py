@@ -24,7 +24,7 @@ GOLDEN = 11400714819323198485
 #: Slots that one task schedules at a time.
 CHUNK_SLOTS = 1 << 16
 #: Documents of one hash range of a shuffled source, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 #: A source's target should span so many blocks; the few slots that its points may stray are then a smaller part of it.
 BLOCKS = 7
 #: Blocks are not cut smaller than this many slots need.

@@ -26,8 +26,16 @@ class LineRules:
     shout_share: float = 0.3
     #: ... or lacks terminal punctuation while having at least this many words (a long run-on list).
     unpunctuated_words: int = 60
-    #: Boilerplate phrases; a line of at most ``boilerplate_words`` words that has one fails.
-    boilerplate: str = r"(?i)enable javascript|accept (?:all )?cookies|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|lorem ipsum|sign in to|click here|subscribe to our"
+    #: ... or is a menu: four words or more, up to twelve, all of them with a capital and none with punctuation.
+    menu: str = r"^(?:\p{Lu}[^ \t.!?…:;,]*[ \t]+){3,11}\p{Lu}[^ \t.!?…:;,]*$"
+    #: Boilerplate phrases in the corpus's languages; a line of at most ``boilerplate_words`` words that has one fails.
+    boilerplate: str = (
+        r"(?i)enable javascript|accept (?:all )?cookies|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|lorem ipsum|sign in to|click here|subscribe to our"
+        r"|skip to (?:main )?content|share (?:this )?on|follow us on|read more$|back to top|add to cart"
+        r"|cookies akzeptieren|datenschutzerkl[äÄ]rung|^impressum$|alle rechte vorbehalten|nutzungsbedingungen|newsletter abonnieren|hier klicken|zum inhalt springen"
+        r"|accepter les cookies|politique de confidentialit[éÉ]|mentions l[éÉ]gales|tous droits r[éÉ]serv[éÉ]s|conditions d.utilisation|cliquez ici|abonnez.vous|aller au contenu"
+        r"|aceptar (?:las |todas las )?cookies|pol[íÍ]tica de privacidad|aviso legal|todos los derechos reservados|condiciones de uso|haga clic aqu[íÍ]|suscr[íÍ]base|ir al contenido"
+    )
     boilerplate_words: int = 30
     #: A document goes if its failing lines hold more than this share of its words.
     max_lost_share: float = 0.5
@@ -50,12 +58,14 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: LineRules = Li
 
     ``n_repeat_words`` counts the words that stand in a 3-word window which occurs twice or more in the text, its first
     occurrence included. ``cleaned`` is the text without failing lines. A null or empty text has no words, so its base
-    fails. Repeated rows are judged alike; columns of ``docs`` named as a result column are replaced.
+    fails. Repeated rows are judged alike; columns of ``docs`` named as a result column are replaced; an empty table stays
+    empty. A text of any length is judged whole, by one task.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_lines", "n_bad_words", "base_failed", "cleaned", "kept"]
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
+    kept_cols = [c for c in docs.columns if c.lower() not in made]
+    own = [F.col("__own")]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    df = docs.select(*own, text.alias("__t"))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept_cols]).alias("__own"), text.alias("__t"))
     df = df.withColumn("__w", words_of(_trimmed(F.col("__t"))))
     df = df.withColumn("__n", F.size("__w")).withColumn("word_chars", F.length(F.array_join("__w", "")).cast("long"))
     # (hash, position) of each 3-word window, equal windows side by side
@@ -89,7 +99,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: LineRules = Li
     df = df.withColumn("base_failed", failed)
     keep = ~F.col("base_failed") & (F.col("n_bad_words") <= rules.max_lost_share * F.col("n_words"))
     # a generator keeps later filters on the verdict from being pushed down, which would repeat the rules inside themselves
-    return df.withColumn("kept", keep).select(*own, F.inline(F.array(F.struct(*made))))
+    done = df.withColumn("kept", keep).select(*own, F.inline(F.array(F.struct(*made))))
+    return done.select(*[F.col("__own")[c].alias(c) for c in kept_cols], *made)
 
 
 def _bad(line: Column, n: Column, rules: LineRules) -> Column:
@@ -99,5 +110,6 @@ def _bad(line: Column, n: Column, rules: LineRules) -> Column:
     symbols = F.regexp_count(line, F.lit(r"[#*$%&]{2,}")) > rules.symbol_share * n
     shouting = F.regexp_count(line, F.lit(r"!(?!\S)")) > rules.shout_share * n
     runon = (n >= rules.unpunctuated_words) & ~line.rlike(r"[.!?…:;,\"'”’»)\]]$")
+    menu = (n >= 4) & (n <= 12) & line.rlike(rules.menu)
     boilerplate = (n <= rules.boilerplate_words) & line.rlike(rules.boilerplate)
-    return F.when(marked, navigation | symbols | shouting).otherwise(False) | runon | boilerplate
+    return F.when(marked, navigation | symbols | shouting).otherwise(False) | runon | menu | boilerplate

@@ -101,6 +101,7 @@ bad as (select r, len(words) as n,
           or len(regexp_extract_all(line, '[#*$%&]{{2,}}')) > 0.2 * len(words)
           or len(list_filter(words, lambda x: ends_with(x, '!'))) > 0.3 * len(words)
           or (len(words) >= 60 and not regexp_matches(line, '[.!?…:;,"''”’»)\]]$'))
+          or (len(words) between 4 and 12 and regexp_matches(line, '{quality_rules.LineRules().menu}'))
           or (len(words) <= 30 and regexp_matches(line, '{quality_rules.LineRules().boilerplate}')) as b from lw),
 s as (select r, count(*) as lines, sum(n) as bw from bad where b group by r),
 o as (select w.r, doc_id, len(w.words)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,

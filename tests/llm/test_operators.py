@@ -54,6 +54,20 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(docs(spark, rows)).where("kept").count() == 2
 
 
+def test_quality_lines(spark):
+    """Each kind of failing line goes, its neighbours stay; ties, clashing columns, long texts and an empty table."""
+    good, long = prose(1, 40) + ".", (prose(2, 30) + ".\n") * 3000
+    bad = ["Home About Products Contact", "a | b | c", "### $$$ %%% x", "Buy! Now! Here!", prose(3, 70), "Alle Rechte vorbehalten", "MENTIONS LÉGALES", "Política de privacidad y más", "Impressum", "skip to content"]
+    fine = ["A Short Title", "Home", "Home about products contact", "See: Home About Products", "Berlin, Paris And Rome"]
+    rows = [(k, f"{good}\n{line}\n{good}", "a") for k, line in enumerate([*bad, *fine])] + [(100, long, "a"), (100, long, "a")]
+    made = docs(spark, rows).withColumnRenamed("lang", "__t").withColumnRenamed("n_chars", "__w").withColumnRenamed("source", "__f")
+    got = quality_rules.quality_rules(made).collect()
+    assert {r.doc_id for r in got if r.n_bad_lines == 1} == set(range(len(bad))) and all(r["__t"] == "en" and r["__f"] == "a" for r in got)
+    assert all(r.cleaned == f"{good}\n{good}" for r in got if r.doc_id < len(bad))
+    assert [(r.n_bad_lines, r.n_dup_lines, r.base_failed) for r in got if r.doc_id == 100] == [(0, 2999, True)] * 2
+    assert quality_rules.quality_rules(docs(spark, [])).count() == 0
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for i, text in sorted(rows):
