@@ -30,11 +30,12 @@ class LineRules:
     menu: str = r"^(?:\p{Lu}[^ \t.!?…:;,]*[ \t]+){3,11}\p{Lu}[^ \t.!?…:;,]*$"
     #: Boilerplate phrases in the corpus's languages; a line of at most ``boilerplate_words`` words that has one fails.
     boilerplate: str = (
-        r"(?i)enable javascript|accept (?:all )?cookies|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|lorem ipsum|sign in to|click here|subscribe to our"
+        r"(?i)^impressum$|(?:^|[^a-zA-Z])(?:"  # only where a word begins, which most places of a line are not
+        r"enable javascript|accept (?:all )?cookies|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|lorem ipsum|sign in to|click here|subscribe to our"
         r"|skip to (?:main )?content|share (?:this )?on|follow us on|read more$|back to top|add to cart"
-        r"|cookies akzeptieren|datenschutzerkl[äÄ]rung|^impressum$|alle rechte vorbehalten|nutzungsbedingungen|newsletter abonnieren|hier klicken|zum inhalt springen"
+        r"|cookies akzeptieren|datenschutzerkl[äÄ]rung|alle rechte vorbehalten|nutzungsbedingungen|newsletter abonnieren|hier klicken|zum inhalt springen"
         r"|accepter les cookies|politique de confidentialit[éÉ]|mentions l[éÉ]gales|tous droits r[éÉ]serv[éÉ]s|conditions d.utilisation|cliquez ici|abonnez.vous|aller au contenu"
-        r"|aceptar (?:las |todas las )?cookies|pol[íÍ]tica de privacidad|aviso legal|todos los derechos reservados|condiciones de uso|haga clic aqu[íÍ]|suscr[íÍ]base|ir al contenido"
+        r"|aceptar (?:las |todas las )?cookies|pol[íÍ]tica de privacidad|aviso legal|todos los derechos reservados|condiciones de uso|haga clic aqu[íÍ]|suscr[íÍ]base|ir al contenido)"
     )
     boilerplate_words: int = 30
     #: A document goes if its failing lines hold more than this share of its words.
@@ -68,9 +69,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: LineRules = Li
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept_cols]).alias("__own"), text.alias("__t"))
     df = df.withColumn("__w", words_of(_trimmed(F.col("__t"))))
     df = df.withColumn("__n", F.size("__w")).withColumn("word_chars", F.length(F.array_join("__w", "")).cast("long"))
-    # (hash, position) of each 3-word window, equal windows side by side
-    window = F.when(F.col("__n") >= 3, F.expr("sort_array(transform(sequence(0, __n - 3), i -> struct(xxhash64(__w[i], __w[i + 1], __w[i + 2]) as h, i as i)))"))
-    df = df.withColumn("__s", window).drop("__w")
+    df = df.withColumn("__h", F.when(F.col("__n") >= 3, F.expr("transform(sequence(0, __n - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2]))"))).drop("__w")
+    # (hash, position) of each 3-word window, equal windows side by side, if any are equal
+    df = df.withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.expr("sort_array(transform(__h, (h, i) -> struct(h as h, i as i)))"))).drop("__h")
     twice = F.expr("sort_array(transform(filter(__s, (x, j) -> (j > 0 and __s[greatest(j - 1, 0)].h = x.h) or (j + 1 < __n - 2 and __s[least(j + 1, __n - 3)].h = x.h)), x -> x.i))")
     df = df.withColumn("__p", twice).drop("__s")
     covered = F.expr("aggregate(__p, struct(0L as n, -3 as last), (a, p) -> struct(a.n + least(3, p - a.last) as n, p as last), a -> a.n)")
@@ -79,12 +80,10 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: LineRules = Li
     df = df.withColumn("__lines", F.split("__t", "\n", -1))
     df = df.withColumn("__full", F.filter("__lines", lambda x: x.rlike(r"[^ \t-\r]")))
 
-    def facts(line: Column) -> Column:
-        bare = _trimmed(line)
-        n = F.size(words_of(bare))
-        return F.struct(line.alias("line"), n.alias("n"), _bad(bare, n, rules).alias("bad"))
-
-    df = df.withColumn("__f", F.transform("__full", facts))
+    # one step each, so that a line is trimmed and its words are counted once, however many rules ask
+    bare = F.transform("__full", lambda x: F.struct(x.alias("line"), _trimmed(x).alias("bare")))
+    sized = F.transform(bare, lambda x: F.struct(x["line"].alias("line"), x["bare"].alias("bare"), (F.regexp_count(x["bare"], F.lit(r"[ \t-\r]+")) + 1).alias("n")))
+    df = df.withColumn("__f", F.transform(sized, lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), _bad(x["bare"], x["n"], rules).alias("bad"))))
     df = df.select(
         *own, "__t", "n_repeat_words",
         F.col("__n").cast("long").alias("n_words"),
