@@ -98,7 +98,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     Two rows are linked if 100 * intersection >= percent * union of their shingle sets; ``component_id`` is the least id
     reachable over links and ``kept`` marks the row whose id that is. A text of fewer words than a shingle is one shingle;
     null texts and texts without words have no shingles and no links. Rows that share an id count as one document. A row
-    without an id takes no part: its ``component_id`` is null and it is kept.
+    without an id takes no part: its ``component_id`` is null and it is kept. Other columns are ignored, whatever their
+    names; an empty table gives an empty result. A text of any length is taken whole, its distinct shingles by one task.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 

@@ -164,12 +164,13 @@ RUNS = "anchor long, content long, id long, start long, strings long"
 
 
 def _combined(anchor, content, ident, start, strings, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the first of each equal run; and the spans (id, start, stop) of the others."""
+    """Order of the first of each equal run; and the spans (id, start, stop) of the others. A repeated row's run is the first itself."""
     order = np.lexsort((start, ident, content, anchor))
     a, c = anchor[order], content[order]
     first = np.ones(len(order), bool)
     first[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-    rest = order[~first]
+    lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
+    rest = order[(ident[order] != ident[lead]) | (start[order] != start[lead])]
     return order[first], ident[rest], start[rest], start[rest] + strings[rest] - 1 + length
 
 
@@ -199,8 +200,9 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     that a smaller doc_id has in full. ``spans``: (doc_id, spans) with the maximal removed runs of the other documents that
     have any. A byte is removed if a string of ``length`` bytes covers it that also starts earlier: in a document of
     smaller id, or earlier in the same one. Strings never cross documents and are judged on the input. A null text is
-    empty. Rows that share an id are taken to be equal and get equal results. A row without an id is left whole and
-    makes no other row's strings repeats.
+    empty. Rows that share an id are taken to be equal and get equal results: none makes the other's strings repeats. A row
+    without an id is left whole and makes no other row's strings repeats. Other columns are ignored, whatever their names;
+    an empty table gives empty results. A text of any length is cut and fetched whole by one task.
     """
     every = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8").alias("text"))
     rows = every.where("id is not null")

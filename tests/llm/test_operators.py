@@ -102,6 +102,19 @@ def test_suffix_dedup(spark, monkeypatch, array_runs):
     assert suffix_dedup.kept(*suffix_dedup.suffix_dedup(docs(spark, rows and []))).count() == 0
 
 
+def test_suffix_dedup_long_and_odd_rows(spark):
+    """A long text, repeated rows, rows without an id, clashing columns and an empty table."""
+    shared = prose(8, 80)
+    long = " ".join(prose(100 + k, 200) + " " + (shared if k % 7 == 0 else "") for k in range(60))
+    rows = [(1, "intro " + shared), (2, long), (3, long[1000:90_000]), (4, shared[:99]), (5, None)]
+    made = docs(spark, [(i, t, "s") for i, t in rows] + [(None, long, "s")]).withColumnRenamed("lang", "anchor").withColumnRenamed("source", "kept")
+    got = suffix_dedup.kept(*suffix_dedup.suffix_dedup(made)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got if r.doc_id is not None} == brute_repeats(rows, 100)
+    assert [r.n_removed for r in got if r.doc_id is None] == [0]
+    twice = suffix_dedup.kept(*suffix_dedup.suffix_dedup(docs(spark, [(1, shared, "s"), (1, shared, "s"), (2, shared, "s")]))).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in twice) == [(1, 0), (1, 0), (2, len(shared))]
+
+
 def test_pii(spark):
     text = "Ask Mrs. Anna Smith, anna.smith@corp.com or +1 (017) 555-7713; 97.51.17.173, 4111 1111 1111 1111, token = \"269b1cea0846965f2d3ecb5cdb87c0edc7a7a587\"."
     base = docs(spark, [(1, text, "a"), (2, "Mrs. Anna Smith wrote to ANNA.smith@corp.com", "a"), (3, None, "a"), (4, "plain", "a"), (5, "", "a"), (1, text, "a")])
@@ -616,6 +629,23 @@ def test_near_duplicates(spark, size, block):
     assert near_duplicates.near_duplicates(docs(spark, [(None, "a b c", "a")])).first().kept
 
 
+def test_near_duplicates_at_the_limit(spark):
+    """Pairs of similarity 0.80 exactly are links, those one shingle below are none; long texts, ties and clashing columns."""
+    rows = []
+    for g in range(25):
+        base = [f"g{g}w{k}" for k in range(91)]  # 90 shingles
+        for same in (80, 79):  # 80 of 100, 79 of 101
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[: same + 1] + [f"g{g}s{same}o{k}" for k in range(90 - same)]))]
+            base = [f"{w}x" for w in base]
+    long = prose(1, 60_000)
+    rows += [(500, long), (501, long + " tail"), (502, long + " tail"), (502, long + " tail")]
+    made = docs(spark, [(i, t, "a") for i, t in rows]).withColumnRenamed("lang", "component_id").withColumnRenamed("source", "node")
+    got = near_duplicates.near_duplicates(made, shingle=2).collect()
+    want = brute_components([r for r in rows if r[0] < 500], 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id < 500} == want and sum(c != i for i, (_, c) in want.items()) == 25
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id >= 500) == [(500, 500), (501, 500), (502, 500), (502, 500)]
+
+
 @pytest.mark.parametrize("most", [10, 0])
 def test_components(spark, most):
     edges = [(i, i + 1) for i in range(0, 40) if i % 7] + [(100, 3), (50, 50), (None, 2)]
@@ -643,6 +673,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert "bob.22@mail1" not in made.text and made.n_chars == len(made.text)
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Each stage takes nulls in any column, empty texts, repeated rows and ids, and an empty table."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, None), (2, "short"), (3, prose(77, 40))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    body = prose(1, 80) + "."
+    rows = [(1, body, "en", "s", 5), (1, body, "en", "s", 5), (2, None, None, None, None), (3, "", "en", "", 0), (None, body + " more", None, "s", None), (None, None, "en", "s", 1), (4, prose(2, 80) + ".", "en", None, 1), (4, prose(3, 80) + ".", "de", None, 2)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' as kept", "1 as taken")
+    for docs_, least in ((odd, 1), (odd.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs_, str(tmp_path))
+            n = got.count()
+            assert n >= least and (name == "source mix" or got.columns == corpus_pipeline.COLUMNS), name
+    kept = corpus_pipeline.near_dup(spark, odd, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.lang or "") for r in kept) == [(0, ""), (0, "en"), (1, "en"), (2, ""), (3, "en"), (4, "de" if prose(3, 80) < prose(2, 80) else "en")]
+    assert corpus_pipeline.leaks(spark, odd, str(tmp_path)).count() == len(rows)
+    assert sorted(r.size for r in corpus_pipeline.mix(spark, odd, str(tmp_path)).collect()) == [0, 0, 0, 80, 80, 80, 80, 81]
+
+
 def test_among_keeps_every_asked_row(spark):
     from tessera.llm.text import among
 
