@@ -28,6 +28,8 @@ GRAM = 40
 HELD_RUNS = 1_000_000
 #: Different runs of one anchor that go into one suffix array; the strings of a fuller anchor are dealt out by hash.
 ARRAY_RUNS = 2_000
+#: A group of full copies is large if it has more than this part of them; there are fewer such groups than this.
+MOST_LARGE = 10_000
 
 
 def suffix_array(text: list[int] | bytes) -> list[int]:
@@ -208,8 +210,13 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     rows = every.where("id is not null")
     # full copies: a digest's least id
     seen = rows.where(F.length("text") >= length).select("id", F.sha2("text", 256).alias("digest"))
-    firsts = seen.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    copies, _ = written(seen.join(firsts, "digest").where("id <> first").select("id").distinct(), "copies")
+    firsts, _ = written(seen.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    copied = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # groups of more than a share of all copies are few whatever the corpus, and need no task of their own
+    large = F.broadcast(firsts.where(F.col("n") * MOST_LARGE > copied).select("digest", "first"))
+    small = firsts.where(F.col("n") * MOST_LARGE <= copied).select("digest", "first")
+    matched = seen.join(large, "digest").unionByName(seen.join(large.drop("first"), "digest", "left_anti").join(small, "digest"))
+    copies, _ = written(matched.where("id <> first").select("id").distinct(), "copies")
 
     def cut(batches):
         held: list[tuple] = []
