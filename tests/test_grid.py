@@ -17,6 +17,7 @@ NAMES = [
     "gbt_scores",
     "group_relative_features",
     "jaro_winkler",
+    "label_pairs",
 ]
 
 
