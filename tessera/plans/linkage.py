@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.views import record_views
-from tessera.operators import decide, matcher
-from tessera.operators.blocking import Blocking, candidates, index, scores
+from tessera.operators import decide, grid, matcher
+from tessera.operators.blocking import Blocking
 from tessera.operators.features import SCORED, pair_features
 from tessera.sources import records as io
 from tessera.sources.tables import table
@@ -68,7 +68,7 @@ def stored_views(records: DataFrame, plan: Linkage, root: str) -> DataFrame:
 def blocked(seen: DataFrame, plan: Linkage) -> DataFrame:
     """Candidates of views, by core name and plain address."""
     base = seen.select("country", "id", "is_query", F.col("name_core").alias("name"), F.col("addr_plain").alias("addr"))
-    return candidates(scores(index(base, {"name": "name", "addr": "addr"}, plan.blocking), plan.blocking), plan.blocking)
+    return grid.candidates(base, {"name": "name", "addr": "addr"}, plan.blocking)
 
 
 def staged(seen: DataFrame, plan: Linkage, truth: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import analyses, blocking, decide, features, lexicon, matcher, sampling
+from tessera.functions.kernels import scorer
+from tessera.operators import analyses, blocking, decide, features, grid, lexicon, matcher, sampling
 from tessera.plans import linkage
 from tessera.queries import _WEIGHTS, LATIN, MEANS, Query, chain, sweep_sql
 from tessera.sources import records as io
@@ -62,6 +63,15 @@ def score(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("p", F.round(p, 6))
 
 
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's candidates as lists."""
+    return grid.best(grid.pack(_base(spark, sf_dir), CHANNELS, PLAN.blocking), PLAN.blocking)
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.found(_lists(spark, sf_dir), PLAN.blocking)
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_pairs(spark, sf_dir)).select("country", "q", "c", "q_idx", "c_idx", "p", "y")
 
@@ -220,7 +230,7 @@ _FRACS = [0.001, 0.005, 0.02]
 
 @query(sweep_sql(REC, _FRACS))
 def cap_sweep(spark, sf_dir):
-    return blocking.sweep(_base(spark, sf_dir), CHANNELS, _truth(spark, sf_dir), PLAN.blocking, _FRACS)
+    return grid.sweep(_base(spark, sf_dir), CHANNELS, _truth(spark, sf_dir), PLAN.blocking, _FRACS)
 
 
 _VARIANT_ROWS = " union all ".join(f"select '{n}' as variant, " + ", ".join(f"round(sum((coalesce(x.rank, 1000000) < {k})::int) / count(*), 6) as recall_{k}" for k in (10, 20, 50)) + f" from truth t left join cand_{n} x on x.q = t.q and x.c = t.c" for n in ("candidate", "full", "none"))

@@ -20,6 +20,7 @@ NAMES = [
     "label_pairs",
     "string_scores",
     "token_jaccard",
+    "world_cap_sweep",
 ]
 
 
