@@ -238,7 +238,7 @@ _VARIANT_ROWS = " union all ".join(f"select '{n}' as variant, " + ", ".join(f"ro
 
 @query(f"{REC}{''.join(chain(0.005, f'_{n}', n, 50, 0) for n in ('candidate', 'full', 'none'))} {_VARIANT_ROWS}")
 def ranking_variants(spark, sf_dir):
-    return analyses.ranking_variants(_base(spark, sf_dir), CHANNELS, _truth(spark, sf_dir), PLAN.blocking)
+    return grid.variants(_base(spark, sf_dir), CHANNELS, _truth(spark, sf_dir), PLAN.blocking)
 
 
 _GRAM = "list_transform(range(1, greatest(length({x}) - {n} + 1, 1) + 1), lambda i: substr({x}, i, {n}))"

@@ -21,6 +21,7 @@ NAMES = [
     "string_scores",
     "token_jaccard",
     "world_cap_sweep",
+    "world_ranking_variants",
 ]
 
 
