@@ -22,6 +22,7 @@ NAMES = [
     "token_jaccard",
     "world_cap_sweep",
     "world_ranking_variants",
+    "world_candidates",
 ]
 
 
