@@ -72,11 +72,29 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.found(_lists(spark, sf_dir), PLAN.blocking)
 
 
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates scored by the three features that ``score`` reads; truth comes with the pool's records."""
+    true = _truth(spark, sf_dir).groupBy(F.col("c").alias("id")).agg(F.collect_set("q").alias("true"))
+    seen = _views(spark, sf_dir).select("id", "is_query", "row_idx", "name_core", "name_first", "hnum")
+    pool = seen.where("not is_query").join(true, "id", "left")
+    df = grid.meet(_candidates(spark, sf_dir).select("q", "c", "country", "rank"), seen.where("is_query"), pool)
+    made = {"n_core_jw": scorer([("s", "jw")])("a.name_core", "b.name_core")["s"], "hn_eq": features.house(F.col("a.hnum"), F.col("b.hnum"))["hn_eq"], "n_first_eq": features.equal(F.col("a.name_first"), F.col("b.name_first"))}
+    df = score(df.withColumns(made | {"y": F.coalesce(F.array_contains("b.true", F.col("q")).cast("int"), F.lit(0))}))
+    return df.select("country", "q", "c", F.col("a.row_idx").alias("q_idx"), F.col("b.row_idx").alias("c_idx"), "p", "y", "rank")
+
+
+#: Decisions here ask for this much at least, so pairs below it are kept only if they are true, or the first of their query.
+FLOOR = 0.5
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(_pairs(spark, sf_dir)).select("country", "q", "c", "q_idx", "c_idx", "p", "y")
+    kept = (F.col("p") >= FLOOR) | (F.col("y") == 1) | (F.col("rank") == 0)
+    return _once(spark, sf_dir, "scored", lambda: _rated(spark, sf_dir).where(kept).drop("rank"))
 
 
 def _decided(spark: SparkSession, sf_dir: str, threshold: float = 0.75, cap: int = 15, resolve: bool = True) -> DataFrame:
+    if threshold < FLOOR:
+        raise ValueError(f"scored pairs are kept from {FLOOR} on")
     return decide.decide(_scored(spark, sf_dir), threshold, cap, resolve, "q_idx", "c_idx")
 
 

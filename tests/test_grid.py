@@ -23,6 +23,7 @@ NAMES = [
     "world_cap_sweep",
     "world_ranking_variants",
     "world_candidates",
+    "world_f05",
 ]
 
 
