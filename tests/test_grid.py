@@ -24,6 +24,7 @@ NAMES = [
     "world_ranking_variants",
     "world_candidates",
     "world_f05",
+    "world_error_examples",
 ]
 
 
