@@ -266,10 +266,7 @@ _WORD_GRAMS = "array_to_string(list_distinct(flatten(list_transform(list_filter(
 @query(f"{V}, rec as (select id, country, is_query, {_WORD_GRAMS.format(v='name_core')} as name, addr_plain as addr from v){chain()} select count(*) as found, round(count(*) / (select count(*) from truth), 6) as recall from truth t join cand x on x.q = t.q and x.c = t.c")
 def gram_blocker(spark, sf_dir):
     base = _base(spark, sf_dir).withColumn("name", analyses.word_grams(F.col("name")))
-    found = blocking.candidates(blocking.scores(blocking.index(base, CHANNELS, PLAN.blocking), PLAN.blocking), PLAN.blocking)
-    truth = _truth(spark, sf_dir)
-    hit = truth.join(found.select("q", "c"), ["q", "c"], "left_semi").agg(F.count("*").alias("found"))
-    return hit.crossJoin(truth.agg(F.count("*").alias("n"))).select("found", F.round(F.col("found") / F.col("n"), 6).alias("recall"))  # one row each
+    return grid.recall(base, CHANNELS, _truth(spark, sf_dir), PLAN.blocking)
 
 
 @query(f"""{REC}{chain()}, few as (select country, channel, tok from dfq where df <= 20), pp as (select p.* from post p join few f on p.country = f.country and p.channel = f.channel and p.tok = f.tok),

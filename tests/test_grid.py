@@ -25,6 +25,7 @@ NAMES = [
     "world_candidates",
     "world_f05",
     "world_error_examples",
+    "world_gram_blocker",
 ]
 
 
