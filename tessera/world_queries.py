@@ -303,7 +303,10 @@ def separability(spark, sf_dir):
 @query(f"{CAND} select q, cand.c, {_FLAGS} from cand join v a on a.id = q join v b on b.id = cand.c")
 def flags(spark, sf_dir):
     rounded = ("len_ratio", "hn_absdiff", "hn_reldiff")
-    return _pairs(spark, sf_dir).select("q", "c", *[F.round(n, 6).alias(n) if n in rounded else n for n in _FLAG_NAMES])
+    seen = _views(spark, sf_dir)
+    df = grid.meet(_candidates(spark, sf_dir).select("q", "c"), seen.where("is_query"), seen.where("not is_query"))
+    made = features.flags("a", "b")
+    return df.select("q", "c", *[(F.round(made[n], 6) if n in rounded else made[n]).alias(n) for n in _FLAG_NAMES])
 
 
 _SORTED = "array_to_string(list_sort(list_filter(string_split({v}, ' '), lambda z: z <> '')), ' ')"

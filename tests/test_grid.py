@@ -26,6 +26,7 @@ NAMES = [
     "world_f05",
     "world_error_examples",
     "world_gram_blocker",
+    "world_flags",
 ]
 
 
