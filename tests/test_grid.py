@@ -27,6 +27,7 @@ NAMES = [
     "world_error_examples",
     "world_gram_blocker",
     "world_flags",
+    "world_leave_one_out",
 ]
 
 
