@@ -28,6 +28,7 @@ NAMES = [
     "world_gram_blocker",
     "world_flags",
     "world_leave_one_out",
+    "world_matching_results",
 ]
 
 
