@@ -30,6 +30,7 @@ NAMES = [
     "world_leave_one_out",
     "world_matching_results",
     "world_output_checks",
+    "world_prediction_profile",
 ]
 
 
