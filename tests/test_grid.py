@@ -31,6 +31,7 @@ NAMES = [
     "world_matching_results",
     "world_output_checks",
     "world_prediction_profile",
+    "world_switch_gate",
 ]
 
 
