@@ -32,6 +32,7 @@ NAMES = [
     "world_output_checks",
     "world_prediction_profile",
     "world_switch_gate",
+    "world_threshold_variants",
 ]
 
 
