@@ -33,6 +33,7 @@ NAMES = [
     "world_prediction_profile",
     "world_switch_gate",
     "world_threshold_variants",
+    "world_threshold_profile",
 ]
 
 
