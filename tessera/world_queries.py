@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.kernels import scorer
+from tessera.functions.kernels import jaro_winkler, scorer
 from tessera.operators import analyses, blocking, decide, features, grid, lexicon, matcher, sampling
 from tessera.plans import linkage
 from tessera.queries import _WEIGHTS, LATIN, MEANS, Query, chain, sweep_sql
@@ -72,21 +74,44 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.found(_lists(spark, sf_dir), PLAN.blocking)
 
 
-def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates scored by the three features that ``score`` reads; truth comes with the pool's records."""
-    true = _truth(spark, sf_dir).groupBy(F.col("c").alias("id")).agg(F.collect_set("q").alias("true"))
-    seen = _views(spark, sf_dir).select("id", "is_query", "row_idx", "name_core", "name_first", "hnum")
-    pool = seen.where("not is_query").join(true, "id", "left")
-    df = grid.meet(_candidates(spark, sf_dir).select("q", "c", "country", "rank"), seen.where("is_query"), pool)
-    made = {"n_core_jw": scorer([("s", "jw")])("a.name_core", "b.name_core")["s"], "hn_eq": features.house(F.col("a.hnum"), F.col("b.hnum"))["hn_eq"], "n_first_eq": features.equal(F.col("a.name_first"), F.col("b.name_first"))}
-    df = score(df.withColumns(made | {"y": F.coalesce(F.array_contains("b.true", F.col("q")).cast("int"), F.lit(0))}))
-    return df.select("country", "q", "c", F.col("a.row_idx").alias("q_idx"), F.col("b.row_idx").alias("c_idx"), "p", "y", "rank")
-
-
 #: Decisions here ask for this much at least, so pairs below it are kept only if they are true, or the first of their query.
 FLOOR = 0.5
 
 
+def _judge(q: pa.Array, a: pa.StructArray, b: pa.StructArray, rank: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """What ``score`` reads of pairs, and their label; all that ``_scored`` keeps and a few at its edge."""
+    x, y = a.field("core").to_pylist(), b.field("core").to_pylist()
+    jw = np.array([jaro_winkler(s, t) if s and t else np.nan for s, t in zip(x, y, strict=True)])
+    first = np.array([(s != "") & (s == t) for s, t in zip(a.field("first").to_pylist(), b.field("first").to_pylist(), strict=True)], bool)
+    h, g = (z.field("num").to_numpy(zero_copy_only=False).astype(float) for z in (a, b))
+    none = np.isnan(h) | np.isnan(g)
+    true = np.array([s in t for s, t in zip(q.to_pylist(), b.field("true").to_pylist(), strict=True)], bool)
+    p = 0.6 * np.nan_to_num(jw) + 0.3 * np.where(none, 0.3, h == g) + 0.1 * first
+    on = np.flatnonzero((p >= FLOOR - 1e-5) | true | (rank == 0))
+    at = pa.array(on)
+    made = {"q_idx": a.field("row_idx").take(at), "c_idx": b.field("row_idx").take(at), "n_core_jw": pa.array(jw[on], mask=np.isnan(jw[on]))}
+    return on, made | {"hn_eq": pa.array((h == g)[on].astype(np.int32), mask=none[on]), "n_first_eq": pa.array(first[on].astype(np.int32)), "y": pa.array(true[on].astype(np.int32)), "rank": pa.array(rank[on].astype(np.int32))}
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates scored by the three features that ``score`` reads: where they are found, or, if a country's pool is more than
+    one block, where their records meet. The first way leaves out most that ``_scored`` would drop."""
+    seen, truth = _views(spark, sf_dir).withColumn("row_idx", F.col("row_idx").cast("long")), _truth(spark, sf_dir)
+    x = F.struct(F.col("name_core").alias("core"), F.col("name_first").alias("first"), F.col("hnum").try_cast("double").alias("num"), "row_idx")
+    packed = grid.pack(_base(spark, sf_dir), CHANNELS, PLAN.blocking, carried=seen.select("id", "is_query", x.alias("x")), truth=truth)
+    names = ["country", "q", "c", "q_idx", "c_idx", "p", "y", "rank"]
+    if packed.single:
+        kind = "q_idx long, c_idx long, n_core_jw double, hn_eq int, n_first_eq int, y int, rank int"
+        return score(grid.judged(packed, PLAN.blocking, _judge, kind)).select(names)
+    true = truth.groupBy(F.col("c").alias("id")).agg(F.collect_set("q").alias("true"))
+    seen = seen.select("id", "is_query", "row_idx", "name_core", "name_first", "hnum")
+    lists = grid.best(grid.Packed(packed.rows.drop("x"), packed.cells), PLAN.blocking)
+    df = grid.meet(grid.found(lists, PLAN.blocking).select("q", "c", "country", "rank"), seen.where("is_query"), seen.where("not is_query").join(true, "id", "left"))
+    made = {"n_core_jw": scorer([("s", "jw")])("a.name_core", "b.name_core")["s"], "hn_eq": features.house(F.col("a.hnum"), F.col("b.hnum"))["hn_eq"], "n_first_eq": features.equal(F.col("a.name_first"), F.col("b.name_first"))}
+    df = df.withColumns(made | {"y": F.coalesce(F.array_contains("b.true", F.col("q")).cast("int"), F.lit(0)), "q_idx": F.col("a.row_idx"), "c_idx": F.col("b.row_idx")})
+    return score(df).select(names)
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = (F.col("p") >= FLOOR) | (F.col("y") == 1) | (F.col("rank") == 0)
     return _once(spark, sf_dir, "scored", lambda: _rated(spark, sf_dir).where(kept).drop("rank"))
