@@ -14,6 +14,9 @@ _HASH = {"spark": "cast(conv(substr(md5(concat({k}, '|{s}')), 1, 8), 16, 10) as
 SHARES = (0.0558, 0.0540, 0.1700, 0.2405, 0.2194, 0.1459, 0.0747, 0.0290, 0.0107)
 _CONSONANTS, _VOWELS = "bcdfghjklmnprstv", "aeiouaeiouaeioua"
 
+#: Customers whose records one task makes.
+SPREAD = 25_000
+
 
 def _word(key: str, salt: str, syllables: int) -> str:
     """A made-up word: hex digits of an MD5 spelled as consonants and vowels in turn."""
@@ -56,6 +59,9 @@ truth as (select concat('S1-', k) as q, id as c from pool where orphan = 0)"""
 
 def _made(spark: SparkSession, sf_dir: str, wanted: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation", "region")}
+    parts = -(-tables["customer"].count() // SPREAD)
+    if parts > 1:  # each customer becomes many records, so a small file is dealt out first
+        tables["customer"] = tables["customer"].select("c_custkey", "c_mktsegment", "c_nationkey").repartition(parts)
     text = world_sql("spark")
     for t in tables:
         text = text.replace(f"from {t} ", f"from {{{t}}} ").replace(f"join {t} ", f"join {{{t}}} ")

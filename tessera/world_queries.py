@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.kernels import jaro_winkler, scorer
+from tessera.functions.views import first_of, house_number
 from tessera.operators import analyses, blocking, decide, features, grid, lexicon, matcher, sampling
 from tessera.plans import linkage
 from tessera.queries import _WEIGHTS, LATIN, MEANS, Query, chain, sweep_sql
 from tessera.sources import records as io
-from tessera.sources.tables import exists, table
+from tessera.sources.tables import exists, freed, table
 from tessera.sources.world import world, world_sql
 
 QUERIES: dict[str, Query] = {}
@@ -37,6 +38,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored or not exists(spark, _stored[key]):
         made = table(make(), f"world-{name}")
+        freed(spark)
         if files := made.inputFiles():
             _stored[key] = files[0].rsplit("/", 1)[0]
         return made
@@ -51,12 +53,18 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "truth", lambda: world(spark, sf_dir)[1])
 
 
+def _brief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two views that records are blocked and scored by; the others are not made for them."""
+    views = lambda: linkage.views(world(spark, sf_dir)[0], PLAN)
+    return _once(spark, sf_dir, "brief", lambda: views().select("country", "id", "is_query", F.col("row_idx").cast("long").alias("row_idx"), F.col("name_core").alias("name"), F.col("addr_plain").alias("addr")))
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "pairs", lambda: linkage.staged(_views(spark, sf_dir), PLAN, _truth(spark, sf_dir)))
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.entities(_views(spark, sf_dir), _truth(spark, sf_dir))
+    return linkage.entities(_brief(spark, sf_dir), _truth(spark, sf_dir))
 
 
 def score(pairs: DataFrame) -> DataFrame:
@@ -78,37 +86,74 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLOOR = 0.5
 
 
-def _judge(q: pa.Array, a: pa.StructArray, b: pa.StructArray, rank: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
-    """What ``score`` reads of pairs, and their label; all that ``_scored`` keeps and a few at its edge."""
-    x, y = a.field("core").to_pylist(), b.field("core").to_pylist()
-    jw = np.array([jaro_winkler(s, t) if s and t else np.nan for s, t in zip(x, y, strict=True)])
-    first = np.array([(s != "") & (s == t) for s, t in zip(a.field("first").to_pylist(), b.field("first").to_pylist(), strict=True)], bool)
+def _letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(how often each has each of 128 letters, lengths, first letters); None if any is beyond ASCII."""
+    texts = texts.fill_null("")
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = data[ends[0] : ends[-1]]
+    if len(data) and data.max() > 127:
+        return None
+    size, at = np.diff(ends), ends[:-1] - ends[0]
+    counts = np.bincount(np.repeat(np.arange(len(texts)), size) * 128 + data, minlength=len(texts) * 128).reshape(-1, 128)
+    head = np.where(size > 0, data[np.minimum(at, max(len(data) - 1, 0))] if len(data) else 0, 0)
+    return np.minimum(counts, 255).astype(np.uint8), size, head
+
+
+def _jw_most(x: pa.Array, of: np.ndarray, y: pa.Array) -> np.ndarray:
+    """What the Jaro-Winkler similarity of x[of] and y is at most, by the letters they share."""
+    a, b = _letters(x), _letters(y)
+    if a is None or b is None or max(a[1].max(initial=0), b[1].max(initial=0)) > 255:
+        return np.ones(len(of))
+    used = np.flatnonzero(a[0].any(axis=0))
+    shared = np.zeros(len(of))
+    for letter in used:
+        shared += np.minimum(a[0][of, letter], b[0][:, letter])
+    jaro = np.where(shared > 0, (shared / np.maximum(a[1][of], 1) + shared / np.maximum(b[1], 1) + 1) / 3, 0.0)
+    return np.where(a[2][of] == b[2], jaro + 0.4 * (1 - jaro), jaro)
+
+
+def _judge(a: pa.StructArray, of: np.ndarray, c: pa.Array, b: pa.StructArray, rank: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """What ``score`` reads of pairs, and their label; all that ``_scored`` keeps and a few at its edge.
+
+    Names are compared where the pair may be kept by what their letters allow at most.
+    """
+    x, firsts, trues = (a.field(name).to_pylist() for name in ("core", "first", "true"))
+    trues = [set(t or ()) for t in trues]
+    first = np.array([(firsts[i] != "") & (firsts[i] == t) for i, t in zip(of, b.field("first").to_pylist(), strict=True)], bool)
     h, g = (z.field("num").to_numpy(zero_copy_only=False).astype(float) for z in (a, b))
+    h = h[of]
     none = np.isnan(h) | np.isnan(g)
-    true = np.array([s in t for s, t in zip(q.to_pylist(), b.field("true").to_pylist(), strict=True)], bool)
-    p = 0.6 * np.nan_to_num(jw) + 0.3 * np.where(none, 0.3, h == g) + 0.1 * first
-    on = np.flatnonzero((p >= FLOOR - 1e-5) | true | (rank == 0))
+    true = np.array([t in trues[i] for i, t in zip(of, c.to_pylist(), strict=True)], bool)
+    rest = 0.3 * np.where(none, 0.3, h == g) + 0.1 * first
+    maybe = np.flatnonzero((0.6 * _jw_most(a.field("core"), of, b.field("core")) + rest >= FLOOR - 1e-5) | true | (rank == 0))
+    jw = np.full(len(of), np.nan)
+    jw[maybe] = [jaro_winkler(s, t) if s and t else np.nan for s, t in zip([x[i] for i in of[maybe]], b.field("core").take(pa.array(maybe)).to_pylist(), strict=True)]
+    p = 0.6 * np.nan_to_num(jw) + rest
+    on = np.intersect1d(maybe, np.flatnonzero((p >= FLOOR - 1e-5) | true | (rank == 0)))
     at = pa.array(on)
-    made = {"q_idx": a.field("row_idx").take(at), "c_idx": b.field("row_idx").take(at), "n_core_jw": pa.array(jw[on], mask=np.isnan(jw[on]))}
+    made = {"q_idx": a.field("row_idx").take(pa.array(of[on])), "c_idx": b.field("row_idx").take(at), "n_core_jw": pa.array(jw[on], mask=np.isnan(jw[on]))}
     return on, made | {"hn_eq": pa.array((h == g)[on].astype(np.int32), mask=none[on]), "n_first_eq": pa.array(first[on].astype(np.int32)), "y": pa.array(true[on].astype(np.int32)), "rank": pa.array(rank[on].astype(np.int32))}
 
 
 def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates scored by the three features that ``score`` reads: where they are found, or, if a country's pool is more than
-    one block, where their records meet. The first way leaves out most that ``_scored`` would drop."""
-    seen, truth = _views(spark, sf_dir).withColumn("row_idx", F.col("row_idx").cast("long")), _truth(spark, sf_dir)
-    x = F.struct(F.col("name_core").alias("core"), F.col("name_first").alias("first"), F.col("hnum").try_cast("double").alias("num"), "row_idx")
-    packed = grid.pack(_base(spark, sf_dir), CHANNELS, PLAN.blocking, carried=seen.select("id", "is_query", x.alias("x")), truth=truth)
+    """Candidates scored by the three features that ``score`` reads: where they are found, or, if one task cannot hold a country's
+    pool, where their records meet. The first way leaves out most that ``_scored`` would drop."""
+    seen = _brief(spark, sf_dir)
+    true = _truth(spark, sf_dir).groupBy(F.col("q").alias("id")).agg(F.collect_set("c").alias("true"))
+    asked = _once(spark, sf_dir, "asked", lambda: seen.where("is_query").join(true, "id", "left"))
+    both = asked.unionByName(seen.where("not is_query"), allowMissingColumns=True)
+    x = F.struct(F.col("name").alias("core"), first_of(F.col("name")).alias("first"), house_number(F.col("addr")).try_cast("double").alias("num"), "row_idx", "true")
+    packed = grid.worded(both.withColumn("x", x), CHANNELS, PLAN.blocking)
     names = ["country", "q", "c", "q_idx", "c_idx", "p", "y", "rank"]
-    if packed.single:
+    if packed:
         kind = "q_idx long, c_idx long, n_core_jw double, hn_eq int, n_first_eq int, y int, rank int"
         return score(grid.judged(packed, PLAN.blocking, _judge, kind)).select(names)
-    true = truth.groupBy(F.col("c").alias("id")).agg(F.collect_set("q").alias("true"))
-    seen = seen.select("id", "is_query", "row_idx", "name_core", "name_first", "hnum")
-    lists = grid.best(grid.Packed(packed.rows.drop("x"), packed.cells), PLAN.blocking)
-    df = grid.meet(grid.found(lists, PLAN.blocking).select("q", "c", "country", "rank"), seen.where("is_query"), seen.where("not is_query").join(true, "id", "left"))
-    made = {"n_core_jw": scorer([("s", "jw")])("a.name_core", "b.name_core")["s"], "hn_eq": features.house(F.col("a.hnum"), F.col("b.hnum"))["hn_eq"], "n_first_eq": features.equal(F.col("a.name_first"), F.col("b.name_first"))}
-    df = df.withColumns(made | {"y": F.coalesce(F.array_contains("b.true", F.col("q")).cast("int"), F.lit(0)), "q_idx": F.col("a.row_idx"), "c_idx": F.col("b.row_idx")})
+    pairs = grid.found(grid.best(grid.pack(seen, CHANNELS, PLAN.blocking), PLAN.blocking), PLAN.blocking)
+    df = grid.meet(pairs.select("q", "c", "country", "rank"), asked.drop("country", "is_query"), seen.where("not is_query").drop("country", "is_query"))
+    hn = features.house(house_number(F.col("a.addr")), house_number(F.col("b.addr")))["hn_eq"]
+    made = {"n_core_jw": scorer([("s", "jw")])("a.name", "b.name")["s"], "hn_eq": hn, "n_first_eq": features.equal(first_of(F.col("a.name")), first_of(F.col("b.name")))}
+    df = df.withColumns(made | {"y": F.coalesce(F.array_contains("a.true", F.col("c")).cast("int"), F.lit(0)), "q_idx": F.col("a.row_idx"), "c_idx": F.col("b.row_idx")})
     return score(df).select(names)
 
 
@@ -123,8 +168,14 @@ def _decided(spark: SparkSession, sf_dir: str, threshold: float = 0.75, cap: int
     return decide.decide(_scored(spark, sf_dir), threshold, cap, resolve, "q_idx", "c_idx")
 
 
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of the decision that is usual here, as a table: what reads them twice does not decide twice."""
+    return _once(spark, sf_dir, "links", lambda: _decided(spark, sf_dir).select("q", "c", "p", "y"))
+
+
 def _judged(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    return decide.entity_scores(_decided(spark, sf_dir, **how), _entities(spark, sf_dir))
+    made = _decided(spark, sf_dir, **how) if how else _links(spark, sf_dir)
+    return decide.entity_scores(made, _entities(spark, sf_dir))
 
 
 # --- SQL fragments --------------------------------------------------------------------------------------------------------
@@ -468,7 +519,7 @@ def prediction_profile(spark, sf_dir):
 @query(f"""{SCORED_SQL}{_run('')}, fp as (select 'FP' as kind, q, c, p from d where y = 0), fn as (select 'FN' as kind, q, c, p from sp where y = 1 and (q, c) not in (select (q, c) from d))
 select * from (select * from fp order by md5(q || '|' || c || '|errors'), q, c limit 8) union all select * from (select * from fn order by md5(q || '|' || c || '|errors'), q, c limit 8)""")
 def error_examples(spark, sf_dir):
-    return decide.errors(_scored(spark, sf_dir), _decided(spark, sf_dir))
+    return decide.errors(_scored(spark, sf_dir), _links(spark, sf_dir))
 
 
 @query(f"""{SCORED_SQL}{_run('')} select 'missing' as check, 0 as n union all select 'unknown', 0 union all select 'repeated', 0 union all select 'outside', (select count(*) from d where (q, c) not in (select (q, c) from cand)) union all select 'used_twice', (select count(*) from (select c from d group by c having count(*) > 1))""")
