@@ -173,9 +173,8 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "links", lambda: _decided(spark, sf_dir).select("q", "c", "p", "y"))
 
 
-def _judged(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    made = _decided(spark, sf_dir, **how) if how else _links(spark, sf_dir)
-    return decide.entity_scores(made, _entities(spark, sf_dir))
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide.entity_scores(_links(spark, sf_dir), _entities(spark, sf_dir))
 
 
 # --- SQL fragments --------------------------------------------------------------------------------------------------------
@@ -483,7 +482,11 @@ def _gate_sql() -> str:
 @query(_gate_sql())
 def switch_gate(spark, sf_dir):
     weights = spark.createDataFrame([("US", 0.4), ("India", 0.45), ("France", 0.15)], "country string, w double")
-    return matcher.gate(_judged(spark, sf_dir), {name: _judged(spark, sf_dir, **how) for name, how in _TRIALS.items()}, weights)
+    runs = decide.trials(_scored(spark, sf_dir), _entities(spark, sf_dir), {"base": {}} | _TRIALS, "q_idx", "c_idx")
+    runs = table(runs, "trials")
+    freed(spark)
+    of = lambda name: runs.select("q", "country", F.col(f"f05_{name}").alias("f05"))
+    return matcher.gate(of("base"), {name: of(name) for name in _TRIALS}, weights)
 
 
 @query(f"{SCORED_SQL}{_run('')} select ent.q, coalesce(string_agg(c, ',' order by p desc, c), '') as matched_ids from ent left join d on ent.q = d.q group by ent.q")
