@@ -516,7 +516,7 @@ def threshold_profile(spark, sf_dir):
 @query(f"""{SCORED_SQL}{_run('')}, s3 as (select country, round(avg(starts_with(c, 'S3-')::int), 6) as s3_share from d join ent on d.q = ent.q group by country)
 select f.country, count(*) as n, round(avg(npred), 6) as mean_pred, round(avg((npred = 0)::int), 6) as empty, round(avg((npred >= 6)::int), 6) as six_or_more, coalesce(any_value(s3_share), 0.0) as s3_share, {" || ',' || ".join(f"sum((least(npred, 6) = {k})::int)::bigint" for k in range(7))} as histogram from f left join s3 on f.country = s3.country group by f.country""")
 def prediction_profile(spark, sf_dir):
-    return analyses.prediction_profile(_judged(spark, sf_dir), _decided(spark, sf_dir))
+    return analyses.prediction_profile(_judged(spark, sf_dir), _links(spark, sf_dir))
 
 
 @query(f"""{SCORED_SQL}{_run('')}, fp as (select 'FP' as kind, q, c, p from d where y = 0), fn as (select 'FN' as kind, q, c, p from sp where y = 1 and (q, c) not in (select (q, c) from d))
