@@ -120,13 +120,14 @@ def match_lists(scored: DataFrame, queries: DataFrame, threshold: float, cap: in
     return decide.lists(decide.decide(scored, threshold, cap, resolve), queries, [(-F.col("p")).alias("o"), F.col("c").alias("o2")], "matched_ids")
 
 
-def variants(scored: DataFrame, queries: DataFrame, thresholds: list[float], cap: int = 15) -> DataFrame:
-    """(thr, q, matched_ids) for several thresholds, from one decision at the lowest one."""
-    once = decide.decide(scored, min(thresholds), cap).select("q", "c", "p")
+def variants(scored: DataFrame, queries: DataFrame, thresholds: list[float], cap: int = 15, q_order: str = "q", c_order: str = "c") -> DataFrame:
+    """(thr, q, matched_ids) for several thresholds, from one decision at the lowest one and one list a query."""
+    once = decide.decide(scored, min(thresholds), cap, True, q_order, c_order)
     steps = F.explode(F.array(*[F.lit(float(t)) for t in sorted(set(thresholds))])).alias("thr")
-    kept = once.select("q", "c", "p", steps).where("p >= thr")
-    made = kept.groupBy("thr", "q").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("o"), F.col("c").cast("string").alias("c")))).alias("l"))
-    return queries.select("q", steps).join(made, ["thr", "q"], "left").select("thr", "q", F.coalesce(F.array_join(F.transform("l", lambda x: x["c"]), ","), F.lit("")).alias("matched_ids"))
+    made = once.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("o"), F.col("c").cast("string").alias("c")))).alias("l"))
+    each = queries.select("q").join(made, "q", "left").select("q", "l", steps)
+    kept = F.transform(F.filter("l", lambda x: -x["o"] >= F.col("thr")), lambda x: x["c"])
+    return each.select("thr", "q", F.coalesce(F.array_join(kept, ","), F.lit("")).alias("matched_ids"))
 
 
 def write_outputs(scored: DataFrame, queries: DataFrame, plan: Linkage, root: str) -> dict:

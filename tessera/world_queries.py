@@ -500,7 +500,7 @@ _VARIANT_SQL = f"{SCORED_SQL}{''.join(_run(f'_{k}', t) for k, t in enumerate(_ST
 
 @query(f"{_VARIANT_SQL} select thr, q, matched_ids from vt")
 def threshold_variants(spark, sf_dir):
-    return linkage.variants(_unique(spark, sf_dir), _entities(spark, sf_dir), _STEPS)
+    return linkage.variants(_scored(spark, sf_dir), _entities(spark, sf_dir), _STEPS, 15, "q_idx", "c_idx")
 
 
 def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
