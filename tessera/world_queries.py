@@ -503,14 +503,9 @@ def threshold_variants(spark, sf_dir):
     return linkage.variants(_scored(spark, sf_dir), _entities(spark, sf_dir), _STEPS, 15, "q_idx", "c_idx")
 
 
-def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs decided at the lowest threshold, ties by input position: each has one q then, and deciding again needs no positions."""
-    return _decided(spark, sf_dir, min(_STEPS)).select("country", "q", "c", "p")
-
-
 @query(f"{_VARIANT_SQL} select thr, sum(n)::bigint as links, round(avg(n), 6) as per_query, round(avg((n = 0)::int), 6) as empty from vt group by thr")
 def threshold_profile(spark, sf_dir):
-    return analyses.threshold_profile(linkage.variants(_unique(spark, sf_dir), _entities(spark, sf_dir), _STEPS))
+    return analyses.threshold_profile(linkage.variants(_scored(spark, sf_dir), _entities(spark, sf_dir), _STEPS, 15, "q_idx", "c_idx"))
 
 
 @query(f"""{SCORED_SQL}{_run('')}, s3 as (select country, round(avg(starts_with(c, 'S3-')::int), 6) as s3_share from d join ent on d.q = ent.q group by country)
