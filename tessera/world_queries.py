@@ -136,12 +136,16 @@ def _judge(a: pa.StructArray, of: np.ndarray, c: pa.Array, b: pa.StructArray, ra
     return on, made | {"hn_eq": pa.array((h == g)[on].astype(np.int32), mask=none[on]), "n_first_eq": pa.array(first[on].astype(np.int32)), "y": pa.array(true[on].astype(np.int32)), "rank": pa.array(rank[on].astype(np.int32))}
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries, each with its matches (``true``; null without any)."""
+    true = lambda: _truth(spark, sf_dir).groupBy(F.col("q").alias("id")).agg(F.collect_set("c").alias("true"))
+    return _once(spark, sf_dir, "asked", lambda: _brief(spark, sf_dir).where("is_query").join(true(), "id", "left"))
+
+
 def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates scored by the three features that ``score`` reads: where they are found, or, if one task cannot hold a country's
     pool, where their records meet. The first way leaves out most that ``_scored`` would drop."""
-    seen = _brief(spark, sf_dir)
-    true = _truth(spark, sf_dir).groupBy(F.col("q").alias("id")).agg(F.collect_set("c").alias("true"))
-    asked = _once(spark, sf_dir, "asked", lambda: seen.where("is_query").join(true, "id", "left"))
+    seen, asked = _brief(spark, sf_dir), _asked(spark, sf_dir)
     both = asked.unionByName(seen.where("not is_query"), allowMissingColumns=True)
     x = F.struct(F.col("name").alias("core"), first_of(F.col("name")).alias("first"), house_number(F.col("addr")).try_cast("double").alias("num"), "row_idx", "true")
     packed = grid.worded(both.withColumn("x", x), CHANNELS, PLAN.blocking)
@@ -463,8 +467,10 @@ def tuned_threshold(spark, sf_dir):
 aw as (select l.country, thr, round(sum(s) / sum(n), 6) as m from l join o on o.country <> l.country group by all), pick as (select country, thr from (select *, row_number() over (partition by country order by m desc, thr) as r from aw) where r = 1)
 select l.country, pick.thr, round(o.s / o.n, 6) as f05, (select max(round(s / n, 6)) from o o2 where o2.country = l.country) as in_country from l join pick on pick.country = l.country join o on o.country = l.country and o.thr = pick.thr""")
 def leave_one_out(spark, sf_dir):
-    same = lambda known, asked: asked  # noqa: E731  the formula needs no training
-    return matcher.leave_one_out(_scored(spark, sf_dir), _entities(spark, sf_dir), [], _GRID, scorer=same)
+    """The formula needs no training. Records go by their input position here, which is short and what ties follow."""
+    pairs = _scored(spark, sf_dir).select("country", F.col("q_idx").alias("q"), F.col("c_idx").alias("c"), "p", "y")
+    sizes = F.coalesce(F.array_size("true"), F.lit(0)).cast("long").alias("tsize")
+    return matcher.leave_one_out(pairs, _asked(spark, sf_dir).select(F.col("row_idx").alias("q"), "country", sizes), [], _GRID)
 
 
 _TRIALS = {"no_resolve": {"resolve": False}, "cap_2": {"cap": 2}, "thr_080": {"threshold": 0.8}, "thr_060": {"threshold": 0.6}}
