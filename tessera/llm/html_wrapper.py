@@ -33,11 +33,14 @@ VOTE = 1 << 30
 CONSTANT = 0.9
 #: Sibling tables of more cells are aligned in linear space.
 TABLE_CELLS = 1 << 20
+#: Sibling tables of so few cells are filled without arrays.
+SHORT_CELLS = 256
+#: Pairs of siblings in an alignment that is kept for other nodes of the same kinds.
+LONGEST_KEPT = 1_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _CLASS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_BLANKS = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template xmp".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -181,7 +184,7 @@ class Page:
             elif (inside is None or inside[node]) and not self.out[node] and node not in template:
                 now.append(said)
         blocks.append("".join(now))
-        lines = (_BLANKS.sub(" ", entities.unescape(b)).strip() for b in blocks)
+        lines = (" ".join(entities.unescape(b).split()) for b in blocks)
         return "\n".join(line for line in lines if line)
 
     def region(self, template: Collection[int] = ()) -> list[bool] | None:
@@ -243,6 +246,8 @@ class Matcher:
         self.below: list[tuple[int, ...]] = []
         self.size: list[int] = []
         self.weight: dict[tuple[int, int], int] = {}
+        self.paths: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.held = 0  # steps of all paths
 
     def shape(self, tags: list[str], kids: list[list[int]]) -> list[int]:
         """The kind of each node."""
@@ -312,16 +317,48 @@ class Matcher:
                 continue
             out.append((a, b))
             ka, kb = kids_a[a], kids_b[b]
-            xa, xb = self.below[x], self.below[y]
-            head, tail = _ends(xa, xb)
-            todo += zip(ka[:head], kb[:head], strict=True)
-            todo += zip(ka[len(ka) - tail :], kb[len(kb) - tail :], strict=True)
-            ka, kb, xa, xb = ka[head : len(ka) - tail], kb[head : len(kb) - tail], xa[head : len(xa) - tail], xb[head : len(xb) - tail]
-            if ka and kb:
-                for p in set(xa):
-                    for q in set(xb):
-                        self._weigh(p, q)
-                todo += ((ka[i], kb[j]) for i, j in _path(*self._table(xa, xb)))
+            todo += [(ka[i], kb[j]) for i, j in self._aligned(x, y)]
+        return out
+
+    def _aligned(self, x: int, y: int) -> list[tuple[int, int]]:
+        """Which children of two different kinds go together; found once for a pair of kinds, unless it is very long."""
+        known = self.paths.get((x, y))
+        if known is not None:
+            return known
+        xa, xb = self.below[x], self.below[y]
+        head, tail = _ends(xa, xb)
+        na, nb = len(xa) - tail, len(xb) - tail
+        path = [(i, i) for i in range(head)] + [(na + i, nb + i) for i in range(tail)]
+        xa, xb = xa[head:na], xb[head:nb]
+        if xa and xb:
+            for p in set(xa):
+                for q in set(xb):
+                    self._weigh(p, q)
+            middle = self._short_path(xa, xb) if len(xa) * len(xb) <= min(SHORT_CELLS, TABLE_CELLS) else _path(*self._table(xa, xb))
+            path += [(head + i, head + j) for i, j in middle]
+        if len(path) <= LONGEST_KEPT:
+            self.paths[x, y] = path
+            self.held += len(path)
+        return path
+
+    def _short_path(self, xa: tuple[int, ...], xb: tuple[int, ...]) -> list[tuple[int, int]]:
+        """``_path`` of short lists, without arrays."""
+        rows = [[0] * (len(xb) + 1)]
+        for p in xa:
+            row, new, last = rows[-1], [0], 0
+            for j, q in enumerate(xb):
+                last = max(row[j + 1], last, row[j] + self._known(p, q))
+                new.append(last)
+            rows.append(new)
+        out, i, j = [], len(xa), len(xb)
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
         return out
 
 
@@ -391,7 +428,7 @@ class _Aligner:
 
     def votes(self, source: str, h: int) -> dict[tuple[int, int], bool]:
         """Whether the text is equal, by reference and key of each text of the other references that this page has a node for."""
-        if len(self.matcher.weight) + len(self.matcher.tag) > 200_000:
+        if len(self.matcher.weight) + len(self.matcher.tag) + len(self.matcher.paths) + self.matcher.held > 200_000:
             self.__init__(self.refs)
         page = Page(source)
         own, shape, out = page.texts(), self.matcher.shape(page.tag, page.kids), {}

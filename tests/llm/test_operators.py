@@ -701,3 +701,37 @@ def test_among_keeps_every_asked_row(spark):
     assert set(range(0, 2000, 7)) <= set(got) and len(got) == len(set(got)) < 320
     assert among(rows, "id", ids).columns == ["id", "chunk"]
     assert among(rows, "id", ids.where("false")).count() == 0
+
+
+def test_html_siblings_are_aligned_once_for_their_kinds(monkeypatch):
+    """Nodes of the same two kinds share one alignment, found without arrays if it is short, and the same as with them."""
+    rng, made = random.Random(8), []
+    short, aligned = html_wrapper.Matcher._short_path, html_wrapper._path
+
+    def path(self, xa, xb):
+        made.append(short(self, xa, xb))
+        assert made[-1] == aligned(*self._table(xa, xb))
+        return made[-1]
+
+    monkeypatch.setattr(html_wrapper.Matcher, "_short_path", path)
+    monkeypatch.setattr(html_wrapper, "_path", lambda *a: pytest.fail("arrays for a few siblings"))
+    own = html_wrapper.Matcher()
+    for _ in range(60):
+        trees = []
+        for _ in range(2):
+            kids = [[]]
+            for node in range(1, 14):
+                kids.append([])
+                kids[rng.choice([0, 0, max(0, node - 2)])].append(node)
+            # renumbered in page order
+            order, todo = [], [0]
+            while todo:
+                order.append(todo.pop())
+                todo += reversed(kids[order[-1]])
+            at = {node: k for k, node in enumerate(order)}
+            trees.append((["#", *rng.choices("ab", k=13)], [[at[c] for c in kids[node]] for node in order]))
+        shapes = [own.shape(*t) for t in trees]
+        first = own.pairs(shapes[0], trees[0][1], shapes[1], trees[1][1])
+        count = len(made)
+        assert own.pairs(shapes[0], trees[0][1], shapes[1], trees[1][1]) == first and len(made) == count
+    assert len(made) > 40
